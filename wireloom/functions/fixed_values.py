@@ -219,6 +219,20 @@ BRUTE_WORDS = ["brute", "patator", "credential", "login"]
 BOT_WORDS = ["bot", "beacon", "c2", "command", "ransomware"]
 EXFIL_WORDS = ["exfil", "transfer", "upload", "infiltrat"]
 UDP_PORTS = [53, 123, 161]
+# value of the first behaviour flag that is set, and the value without any; the order differs
+FLOW_SECONDS = ([("scan", 0.005), ("dos", 0.02), ("brute", 0.3), ("bot", 1.2), ("exfil", 5.0)], 1.5)
+FLOW_PACKETS = ([("dos", 500), ("scan", 2), ("brute", 10), ("bot", 5), ("exfil", 30)], 12)
+BASELINE_DEVIATION = ([("dos", 3.5), ("scan", 2.8), ("brute", 2.0), ("bot", 2.5), ("exfil", 3.0)], 0.1)
+TEMPORAL_ANOMALY = ([("dos", 4.0), ("bot", 0.5), ("scan", 2.0)], 0.05)
+BACKWARD_SHARE = 0.65
+FORWARD_PACKET_BYTES = 350
+BACKWARD_PACKET_BYTES = 290
+PACKET_SPREAD = 0.3
+GAP_SPREAD_BOT = 0.1
+GAP_SPREAD = 0.55
+ACTIVE_SHARES = [0.4, 0.1, 0.6, 0.05]
+IDLE_SHARES = [0.5, 0.15, 0.8, 0.05]
+WINDOW_BYTES = 8192
 DEFAULT_DST_PORT = 443
 DEFAULT_SRC_PORT = 52000
 DEFAULT_DOMAIN_ENTROPY = 1.5

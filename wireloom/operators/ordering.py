@@ -28,6 +28,11 @@ def distributed_row_number(
     each bucket's offset, and rows are numbered inside their bucket only. The frame that is
     summed per group has one row per bucket, not per event.
     """
+    kept = [c for c in df.columns if c != out]
+    if not bucket:
+        # no buckets: for groups that are small by construction
+        plain = W.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(plain).cast("long") - 1).select(*kept, out)
     cells = [*keys, *bucket]
     sizes = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy(*keys).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)
@@ -38,7 +43,6 @@ def distributed_row_number(
     joined = df.join(offsets, null_safe(df, offsets, [(c, f"_cell{i}") for i, c in enumerate(cells)]))
     inside = W.partitionBy(*cells).orderBy(*order)
     numbered = joined.withColumn(out, F.col("_offset") + F.row_number().over(inside).cast("long") - 1)
-    kept = [c for c in df.columns if c != out]
     return numbered.select(*kept, out)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.functions import fixed_values as fixed
-from wireloom.functions.network import valid_endpoints
+from wireloom.functions.network import is_private, valid_endpoints
 from wireloom.functions.text import choose, computed_once, first_truthy, lookup, strip
 from wireloom.schemas import PARSED_COLUMNS
 from wireloom.sources.lines import FILE_KEYS, ORDER, keep_order
@@ -240,3 +240,20 @@ def with_json_outcome(lines: DataFrame) -> DataFrame:
         (F.col("_j.is_object") & valid_endpoints(*ends)).alias("json_ok"),
         (~blank & ~F.col("_j.is_object")).alias("json_corrupt"),
     )
+
+
+def is_relevant() -> Column:
+    """Live filter: alerts and anomalies always; other kept types need both ends, and look-ups
+    and requests also a name or an end outside the private ranges."""
+    kind = F.coalesce(_f("event_type"), F.lit(""))
+    src, dst = F.coalesce(_f("src_ip"), F.lit("")), F.coalesce(_f("dest_ip"), F.lit(""))
+    outside = ~is_private(src) | ~is_private(dst)
+    worth = ~kind.isin(fixed.DOMAIN_BOUND_TYPES) | has_domain() | outside
+    return kind.isin(fixed.ALWAYS_KEPT_TYPES) | (
+        kind.isin(fixed.KEPT_TYPES) & valid_endpoints(src, dst) & worth
+    )
+
+
+def relevant_lines(lines: DataFrame) -> DataFrame:
+    """Object lines that pass the live filter; malformed ones are skipped."""
+    return with_fields(lines).filter("_j.is_object").filter(is_relevant()).select(*lines.columns)
