@@ -24,19 +24,16 @@ def rule_text(alert: Column, domain: Column, reason: Column, summary: Column) ->
 
 
 def _matches(text: Column, patterns: list[str], word_boundaries: bool) -> Column:
-    """One test per rule: substring tests for plain words, one regex for the rest.
+    """One regular expression per rule.
 
-    A pattern whose first or last piece is already a plain word of the same rule can add no hit,
-    so it never reaches the regular-expression engine.
+    A pattern one of whose pieces is already a plain word of the same rule can add no hit, and
+    its ``.*`` would only cost backtracking, so it is left out of the expression.
     """
     if word_boundaries:
         return F.rlike(text, F.lit(r"(?d)\b(?:" + "|".join(patterns) + r")\b"))
     plain = [p for p in patterns if ".*" not in p]
     spread = [p for p in patterns if ".*" in p and not any(piece in plain for piece in p.split(".*"))]
-    test = contains_any(text, plain)
-    if spread:
-        test = test | F.rlike(text, F.lit("(?d)" + "|".join(spread)))
-    return test
+    return F.rlike(text, F.lit("(?d)" + "|".join(plain + spread)))
 
 
 def _names(tactic_id: str, technique_id: str, technique: str | None = None) -> Column:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from wireloom.functions import rules
 from wireloom.functions.network import valid_endpoints
-from wireloom.operators.lookups import heaviest_keys, hot_key_lookup
-from wireloom.operators.ordering import null_safe
+from wireloom.operators.lookups import hot_key_lookup
 from wireloom.schemas import PREDICTION_COLUMNS, PUBLIC_INCIDENT_COLUMNS
 
 BATCH_PAIR = ["organization_id", "batch_id", "source_ip", "destination_ip"]
@@ -47,19 +46,20 @@ def first_match_predictions(
     values: Sequence[str] = PREDICTION_COLUMNS,
     keys: Sequence[str] = BATCH_PAIR,
     order: str = "seq",
+    small_batches: bool = False,
 ) -> DataFrame:
     """Give each incident the prediction of the first event of its batch with the same two ends.
 
     The first event per pair is found by a map-side combined aggregate, so the lookup table has
-    one row per pair however often a pair occurs. The same aggregate counts the pairs, which
-    names the hot ones for free.
+    one row per pair however often a pair occurs; hot pairs are salted in the join. With
+    ``small_batches`` (bounded by construction) no pair can be hot and the salting is skipped.
     """
-    firsts = predictions.groupBy(*keys).agg(
-        F.min_by(F.struct(*values), order).alias("_first"), F.count(F.lit(1)).alias("_weight")
-    )
-    table = firsts.select(*keys, *[F.col(f"_first.{v}").alias(v) for v in values], "_weight")
-    hot = heaviest_keys(table, "_weight").select(*keys, *values)
-    return hot_key_lookup(incidents, table.select(*keys, *values), hot, keys, spread=[order])
+    firsts = predictions.groupBy(*keys).agg(F.min_by(F.struct(*values), order).alias("_first"))
+    if small_batches:
+        joined = incidents.join(firsts, list(keys), "left")
+    else:
+        joined = hot_key_lookup(incidents, firsts, keys, spread=[order])
+    return joined.select(*incidents.columns, *[F.col(f"_first.{v}").alias(v) for v in values])
 
 
 def flag_duplicates(
@@ -72,12 +72,7 @@ def flag_duplicates(
     """
     keys = INCIDENT_KEY if per_tenant else INCIDENT_KEY[1:]
     known = stored.select(*keys).distinct().withColumn("_known", F.lit(True))
-    heavy = heaviest_keys(incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight")), "_weight")
-    named = known.select(*[F.col(k).alias(f"_n{i}") for i, k in enumerate(keys)], "_known")
-    hot = heavy.join(
-        named, null_safe(heavy, named, [(k, f"_n{i}") for i, k in enumerate(keys)]), "left"
-    ).select(*keys, "_known")
-    looked_up = hot_key_lookup(incoming, known, hot, keys, spread=spread)
+    looked_up = hot_key_lookup(incoming, known, keys, spread)
     return looked_up.withColumn("is_duplicate", F.coalesce("_known", F.lit(False))).drop("_known")
 
 

@@ -10,56 +10,46 @@ from pyspark.sql import functions as F
 from wireloom.operators.ordering import null_safe
 from wireloom.session import materialize
 
-# Keys treated as hot. After the heaviest 1,000 are taken out, no other key can hold more than
-# one row in a thousand, and a table of 1,000 keys is always small enough to broadcast.
+# Keys treated as hot. Beyond the heaviest 1,000 no key can hold more than one row in a
+# thousand, and a list of 1,000 keys is always small enough to broadcast.
 HOT_KEYS = 1000
 SALTS = 256
 BROADCAST_ROWS = 20_000
 
 
-def heaviest_keys(counted: DataFrame, weight: str, limit: int = HOT_KEYS) -> DataFrame:
-    """The ``limit`` keys with the greatest weight."""
-    return counted.orderBy(F.desc(weight)).limit(limit)
+def heaviest_keys(rows: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS) -> DataFrame:
+    """The ``limit`` most frequent keys. Only the key columns are read, and counts are combined
+    before they shuffle."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight"))
+    return counted.orderBy(F.desc("_weight")).limit(limit).select(*keys)
 
 
 def hot_key_lookup(
-    left: DataFrame,
-    table: DataFrame,
-    hot: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
-    hot_limit: int = HOT_KEYS,
+    left: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str], hot: DataFrame | None = None
 ) -> DataFrame:
-    """Left join of ``left`` with ``table`` (one row per key).
+    """Left join of ``left`` with ``table`` (one row per key) in which no key is a hot spot.
 
-    ``hot`` holds the rows of ``table`` for the heaviest keys and is cut to ``hot_limit`` rows
-    here, which bounds the broadcast. Rows of ``left`` with such a key take their value from
-    it, and their shuffle key gets a salt, so they spread over all tasks; every other row
-    finds its value through the ordinary shuffle join. No row is dropped either way: a hot key
-    beyond the limit simply counts as an ordinary key.
+    The heaviest keys of ``left`` (a list cut to ``HOT_KEYS`` rows, so its broadcast is bounded)
+    are salted: their rows in ``left`` spread over ``SALTS`` partitions, and their single rows in
+    ``table`` are copied to each. All other keys join as usual. Null equals null.
     """
+    hot = (heaviest_keys(left, keys) if hot is None else hot).limit(HOT_KEYS)
+    hot = F.broadcast(hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot")))
+    hot_pairs = [(k, f"_h{i}") for i, k in enumerate(keys)]
     payload = [c for c in table.columns if c not in keys]
-    values = F.struct(*payload)
-    hot_side = hot.limit(hot_limit).select(
-        *[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], values.alias("_hot"), F.lit(True).alias("_is_hot")
-    )
-    marked = left.join(
-        F.broadcast(hot_side), null_safe(left, hot_side, [(k, f"_h{i}") for i, k in enumerate(keys)]), "left"
-    )
-    salt = F.when(F.col("_is_hot"), 1 + F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    marked = marked.select(*left.columns, "_hot", "_is_hot", salt.alias("_salt"))
-    cold_side = table.select(
-        *[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)],
-        F.lit(0).cast("long").alias("_csalt"),
-        values.alias("_cold"),
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS))
+    zero = F.lit(0).cast("long")
+    salted = left.join(hot, null_safe(left, hot, hot_pairs), "left").select(
+        *left.columns, F.when(F.col("_hot"), salt).otherwise(zero).alias("_salt")
     )
-    pairs = [(k, f"_c{i}") for i, k in enumerate(keys)]
-    joined = marked.join(
-        cold_side, null_safe(marked, cold_side, pairs) & (marked["_salt"] == cold_side["_csalt"]), "left"
+    every = F.sequence(zero, F.lit(SALTS - 1).cast("long"))
+    copies = table.join(hot, null_safe(table, hot, hot_pairs), "left").select(
+        *[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)],
+        *payload,
+        F.explode(F.when(F.col("_hot"), every).otherwise(F.array(zero))).alias("_tsalt"),
     )
-    chosen = F.when(F.col("_is_hot"), F.col("_hot")).otherwise(F.col("_cold"))
-    staged = joined.select(*left.columns, chosen.alias("_value"))
-    return staged.select(*left.columns, *[F.col(f"_value.{c}").alias(c) for c in payload])
+    pairs = [*[(k, f"_t{i}") for i, k in enumerate(keys)], ("_salt", "_tsalt")]
+    return salted.join(copies, null_safe(salted, copies, pairs), "left").select(*left.columns, *payload)
 
 
 def small_table_lookup(

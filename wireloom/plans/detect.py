@@ -26,16 +26,19 @@ def heuristic_scorer(scaled: bool = True, split_rows: int | None = SPLIT_ROWS) -
     return lambda events: heuristic_predictions(events, scaled, split_rows)
 
 
-def score_incidents(events: DataFrame, scorer: Scorer | None = None) -> DataFrame:
+def score_incidents(events: DataFrame, scorer: Scorer | None = None, small_batches: bool = False) -> DataFrame:
     """Suspicious events with prediction and ATT&CK columns, before any comparison with the store.
 
     All events are scored, also those that raise no incident: the windows of later events and
     the first-match rule need them. The reason that decides the ATT&CK mapping is the model's
-    own; the score and texts are filled up after it.
+    own; the score and texts are filled up after it. ``small_batches`` says that batches are
+    small by construction, which spares the measures against hot ones.
     """
-    scorer = scorer or heuristic_scorer()
+    scorer = scorer or heuristic_scorer(split_rows=None if small_batches else SPLIT_ROWS)
     suspicious = detect_suspicious(events)
-    matched = first_match_predictions(suspicious, scorer(events), PREDICTION_COLUMNS)
+    matched = first_match_predictions(
+        suspicious, scorer(events), PREDICTION_COLUMNS, small_batches=small_batches
+    )
     return backfill_predictions(with_mitre(matched))
 
 
@@ -51,9 +54,10 @@ def detect_incidents(
     scorer: Scorer | None = None,
     per_tenant: bool = True,
     within_batch: bool = False,
+    small_batches: bool = False,
 ) -> DataFrame:
     """Incidents that are new with respect to ``stored``."""
-    scored = score_incidents(events, scorer)
+    scored = score_incidents(events, scorer, small_batches)
     if stored is not None:
         scored = dedup_incidents(scored, stored, per_tenant, within_batch)
     return as_incidents(scored)

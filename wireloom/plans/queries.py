@@ -50,7 +50,7 @@ SMALL_BATCH = None
 
 
 def _incidents(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.detect_incidents(fl.flows(spark, sf), scorer=detect.heuristic_scorer(split_rows=SMALL_BATCH))
+    return detect.detect_incidents(fl.flows(spark, sf), small_batches=True)
 
 
 def _tenant_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,8 +81,9 @@ def scan_log_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def route_formats(spark: SparkSession, sf: str) -> DataFrame:
     mixed = fl.render_mixed(fl.flows(spark, sf))
-    routes = router.choose_routes(mixed).select(*lines.FILE_KEYS, "route")
-    found = router.parse_logs(mixed).groupBy(*lines.FILE_KEYS).agg(F.count(F.lit(1)).alias("events"))
+    profile = router.choose_routes(mixed)
+    routes = profile.select(*lines.FILE_KEYS, "route")
+    found = router.parse_logs(mixed, profile).groupBy(*lines.FILE_KEYS).agg(F.count(F.lit(1)).alias("events"))
     return routes.join(found, lines.FILE_KEYS, "left")
 
 
@@ -127,13 +128,11 @@ def json_dialect(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def json_accept_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Files with a falling share of JSON lines; some other lines are blank."""
-    f = fl.flows(spark, sf)
     share = F.get(F.array(F.lit(1), F.lit(3), F.lit(9)), F.col("organization_id").cast("int"))
-    rendered = fl.render_eve(f).join(f.select(F.col("seq"), F.col("k")), F.expr("line_id - 4 = seq"))
     digit = F.col("k") % 10
     other = F.when(digit == 9, "").otherwise("no event here")
-    text = rendered.withColumn("value", F.when(digit < share, F.col("value")).otherwise(other))
-    profile = router.file_profile(text.select(*lines.LINE_COLUMNS))
+    text = fl.render_eve(_tenant_stream(spark, sf), F.when(digit < share, fl.eve_json()).otherwise(other))
+    profile = router.file_profile(text)
     return profile.select("batch_id", "n_lines", "n_json", "n_corrupt", router.json_accepted().alias("accepted"))
 
 

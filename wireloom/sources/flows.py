@@ -136,8 +136,8 @@ def eve_json() -> Column:
     )
 
 
-def render_eve(df: DataFrame) -> DataFrame:
-    return _as_lines(df.withColumn("eve_type", eve_type()), _org_file("eve"), eve_json())
+def render_eve(df: DataFrame, line: Column | None = None) -> DataFrame:
+    return _as_lines(df.withColumn("eve_type", eve_type()), _org_file("eve"), eve_json() if line is None else line)
 
 
 def render_zeek_json(df: DataFrame) -> DataFrame:

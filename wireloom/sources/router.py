@@ -186,9 +186,9 @@ def choose_routes(lines: DataFrame) -> DataFrame:
     return judged.withColumn("route", route).drop("zeek_hit", "csv_hit")
 
 
-def parse_logs(lines: DataFrame) -> DataFrame:
+def parse_logs(lines: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     """Events of any mix of files, each read in the format its content shows."""
-    routed = _with_profile(lines, choose_routes(lines))
+    routed = _with_profile(lines, choose_routes(lines) if routes is None else routes)
     part = lambda route: routed.filter(F.col("route") == route)
     parsed = [
         delimited.parse_zeek_tsv(part("zeek_tsv")),
