@@ -38,11 +38,21 @@ ZEEK_HEADERS = {
 }
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that is a single small piece.
+
+    A file with one row group is read by one task, and everything up to the first shuffle would
+    run there. An input that already has enough partitions, as any large one has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def flows(spark: SparkSession, sf_dir: str, hints: bool = False) -> DataFrame:
     """Every row of ``events`` as a normalised event in batches of 50."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("long")
-    e = e.select("event_id", "ts", "user_id", "event_type", k.alias("k"))
+    e = spread_scan(e.select("event_id", "ts", "user_id", "event_type", k.alias("k")))
     text = lambda c: c.cast("string")
     user, k, eid = F.col("user_id"), F.col("k"), F.col("event_id")
     domain = choose(
