@@ -576,3 +576,15 @@ add("alert_feed", f"""{PIPELINE} SELECT organization_id, id AS incident_id, 'inc
 add("flow_features", f"WITH {FLOWS}, {BASE} SELECT seq, "
     + ", ".join(f"round(CAST({f} AS DOUBLE), 6) AS {n}" for n, (f, _, _) in FEATURES.items()) + " FROM q3")
 add("robust_zscore", f"WITH {FLOWS}, {BASE} SELECT seq, " + ", ".join(f"round({z(n)}, 6) AS {n}" for n in FEATURES) + " FROM q3")
+
+# --- sinks and streams --------------------------------------------------------------------------
+add("incident_sink", f"{PIPELINE} SELECT *, substr(timestamp, 1, 10) AS event_day FROM incidents")
+_EVE_RISK = "CASE WHEN kind = 'alert' AND k % 4 = 1 THEN 'High' WHEN kind = 'alert' AND k % 4 = 2 THEN 'Medium' ELSE 'Low' END"
+_RELEVANT = """source_ip <> '' AND (kind = 'alert' OR (kind IN ('dns', 'http', 'tls')
+  AND ((domain <> '' AND NOT (kind = 'dns' AND k % 3 = 2)) OR k % 2 = 1)))"""
+add("stream_tail", f"""{SIMPLE}, {EVE} SELECT timestamp, source_ip, destination_ip, domain, shown AS alert_type, kind AS event_type,
+  {_EVE_RISK} AS risk_level FROM eve2 WHERE {_RELEVANT}""")
+add("stream_detect", f"""{SIMPLE}, {EVE}, live AS (SELECT * REPLACE (shown AS alert_type, {_EVE_RISK} AS hint) FROM eve2 WHERE {_RELEVANT}),
+  judged AS (SELECT *, {risk('hint')} AS risk_level FROM live)
+  SELECT source_ip, destination_ip, domain, timestamp, alert_type, risk_level, {STATUS} AS status FROM judged
+  WHERE risk_level <> 'Low' OR domain <> ''""")

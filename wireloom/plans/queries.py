@@ -17,6 +17,8 @@ from wireloom.functions import entropy, network, rules
 from wireloom.functions.fixed_values import ATTACK_LABELS
 from wireloom.functions.mitre import with_mitre
 from wireloom.functions.text import first_truthy
+from wireloom.models import classifiers
+from wireloom.models.ensemble import Ensemble
 from wireloom.operators import dashboard, evaluation, incidents, sequences
 from wireloom.operators.features import (
     HEURISTIC_FEATURES,
@@ -27,11 +29,12 @@ from wireloom.operators.features import (
 )
 from wireloom.operators.ordering import SPLIT_ROWS, distributed_row_number
 from wireloom.operators.scoring import heuristic_predictions
-from wireloom.plans import detect, report
+from wireloom.plans import detect, report, train
 from wireloom.schemas import INCIDENT_COLUMNS, PARSED_COLUMNS, PREDICTION_COLUMNS
 from wireloom.session import scratch_path
 from wireloom.sources import flows as fl
 from wireloom.sources import json_lines, lines, router, sinks
+from wireloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -541,6 +544,116 @@ def robust_zscores(spark: SparkSession, sf: str) -> DataFrame:
     return scaled.select("seq", *[F.round(c, 6).alias(c) for c in scaled.columns if c != "seq"])
 
 
+# --- sinks and streams ----------------------------------------------------------------------
+@query
+def incident_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Append all incidents twice; the second time nothing is new."""
+    table = sinks.IncidentTable(spark, scratch_path(spark, "incidents"))
+    for _ in range(2):
+        table.append_new(_incidents(spark, sf))
+    return table.read()
+
+
+def _log_folder(spark: SparkSession, sf: str) -> str:
+    folder = scratch_path(spark, "logs")
+    fl.render_eve(fl.flows(spark, sf)).select("value").write.text(folder)
+    return folder
+
+
+@query
+def stream_tail(spark: SparkSession, sf: str) -> DataFrame:
+    out = scratch_path(spark, "tail")
+    live.tail_to_table(spark, _log_folder(spark, sf), out, scratch_path(spark, "tail-cp"), 4).awaitTermination()
+    return spark.read.parquet(out).select(
+        "timestamp", "source_ip", "destination_ip", "domain", "alert_type", "event_type", "risk_level"
+    )
+
+
+@query
+def stream_detect(spark: SparkSession, sf: str) -> DataFrame:
+    out = scratch_path(spark, "live")
+    live.run_live(
+        spark, _log_folder(spark, sf), f"{out}/incidents", f"{out}/checkpoint", f"{out}/feed", max_files=4, once=True
+    ).awaitTermination()
+    table = sinks.IncidentTable(spark, f"{out}/incidents").read()
+    return table.select("source_ip", "destination_ip", "domain", "timestamp", "alert_type", "risk_level", "status")
+
+
+# --- models -----------------------------------------------------------------------------------
+_TRAINED: dict[tuple[str, str], tuple[Ensemble, DataFrame]] = {}
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return _tenant_stream(spark, sf).withColumn("label", _category_label())
+
+
+def _trained(spark: SparkSession, sf: str) -> tuple[Ensemble, DataFrame]:
+    """One training run per session and folder, shared by the queries that only use its models."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = train.train_all(_labelled(spark, sf))
+    return _TRAINED[key]
+
+
+@query
+def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
+    ensemble, rows = _trained(spark, sf)
+    score = ensemble.forest.decision(F.col("x"))
+    return rows.select("event_id", "label", score.alias("score")).withColumn(
+        "verdict", F.when(F.col("score") < 0, -1).otherwise(1)
+    )
+
+
+@query
+def one_class_novelty(spark: SparkSession, sf: str) -> DataFrame:
+    ensemble, rows = _trained(spark, sf)
+    return rows.select("event_id", "label", ensemble.novelty.decision(F.col("x")).alias("score")).withColumn(
+        "outlier", F.col("score") < 0
+    )
+
+
+@query
+def direct_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    ensemble, rows = _trained(spark, sf)
+    scored = classifiers.with_probabilities(ensemble.direct, rows.select("event_id", "label", "x"), "p")
+    return scored.select("event_id", "label", classifiers.most_likely(F.col("p")).alias("prediction"))
+
+
+@query
+def sequence_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    ensemble, rows = _trained(spark, sf)
+    scored = classifiers.with_probabilities(ensemble.sequence, train.windows_with_labels(rows), "p")
+    return scored.select(*sequences.SEQUENCE, "label", classifiers.most_likely(F.col("p")).alias("prediction"))
+
+
+@query
+def train_meta(spark: SparkSession, sf: str) -> DataFrame:
+    ensemble, rows = _trained(spark, sf)
+    return ensemble.classify(rows, "pos").select("event_id", "label", "prediction", "has_seq", "threat_score")
+
+
+@query
+def ensemble_score(spark: SparkSession, sf: str) -> DataFrame:
+    ensemble, _ = _trained(spark, sf)
+    return ensemble.predict(_tenant_stream(spark, sf)).select("organization_id", "seq", *PREDICTION_COLUMNS)
+
+
+@query
+def train_all(spark: SparkSession, sf: str) -> DataFrame:
+    ensemble, rows = _trained(spark, sf)
+    return train.evaluate(ensemble, rows)
+
+
+@query
+def model_io(spark: SparkSession, sf: str) -> DataFrame:
+    """Classify with the ensemble read back from storage."""
+    ensemble, rows = _trained(spark, sf)
+    path = scratch_path(spark, "models")
+    ensemble.save(spark, path)
+    again = Ensemble.load(spark, path)
+    return again.classify(rows, "pos").select("event_id", "prediction", "threat_score")
+
+
 # the catalogue uses the operator names
 QUERIES["first_truthy"] = QUERIES.pop("first_truthy_value")
 QUERIES["flow_features"] = QUERIES.pop("feature_table")

@@ -32,14 +32,22 @@ def scan_log_lines(
 
 
 def label_lines(text: DataFrame, organization_id: int = 0) -> DataFrame:
-    """Attach tenant, file and order to a text scan (batch or micro-batch)."""
-    return text.select(
+    """Attach tenant, file and order to a text scan.
+
+    A stream knows no row ids; there the order within a split is added per micro-batch.
+    """
+    placed = text.select(
         F.lit(organization_id).cast("long").alias("organization_id"),
         F.col("_metadata.file_path").alias("batch_id"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_id"),
         "value",
     )
+    return placed if text.isStreaming else with_line_ids(placed)
+
+
+def with_line_ids(lines: DataFrame) -> DataFrame:
+    """Add ``line_id``, which grows along the rows of a split."""
+    return lines.withColumn("line_id", F.monotonically_increasing_id()).select(*LINE_COLUMNS)
 
 
 def is_blank(value: Column) -> Column:

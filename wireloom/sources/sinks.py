@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wireloom.functions.times import text_day
 from wireloom.operators.incidents import dedup_incidents
 from wireloom.schemas import INCIDENT_COLUMNS, INCIDENT_SCHEMA
+from wireloom.session import materialize
 
 # tenant first: every read names one; the day comes from the de-duplication key
 PARTITIONS = ["organization_id", "event_day"]
@@ -66,18 +67,25 @@ class IncidentTable:
         days = sorted({r.event_day for r in found})
         return stored.filter(F.col("organization_id").isin(tenants) & F.col("event_day").isin(days))
 
+    def new_incidents(self, incoming: DataFrame, within_batch: bool = False) -> DataFrame:
+        """The incoming incidents that are not stored yet, as of now."""
+        return dedup_incidents(incoming, self.stored_for(incoming), within_batch=within_batch, order="id")
+
     def append_new(self, incoming: DataFrame, within_batch: bool = False) -> DataFrame:
         """Append the incidents not stored yet and return them.
 
-        Running the same batch again appends nothing, so a retried micro-batch is harmless.
+        Running the same batch again appends nothing, so a retried micro-batch is harmless. The
+        new ones are settled before the write; read afterwards they would all count as stored.
         """
-        fresh = dedup_incidents(incoming, self.stored_for(incoming), within_batch=within_batch, order="id")
+        fresh = materialize(self.new_incidents(incoming, within_batch))
         self.append(fresh)
         return fresh
 
     def append(self, incidents: DataFrame) -> None:
+        """Append rows. Rebalancing gathers each partition's rows into few files and splits a
+        partition that holds too many for one task."""
         dated = incidents.select(*INCIDENT_COLUMNS, text_day(F.col("timestamp")).alias("event_day"))
-        dated.write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
+        dated.hint("rebalance", *PARTITIONS).write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
 
     def purge(self, organization_id: int, role: str) -> int:
         """Delete a tenant's partition (administrators only) and return how many incidents it held."""
