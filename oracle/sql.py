@@ -95,7 +95,7 @@ def entropy(text: str, length: str | None = None) -> str:
     n = length or f"length({text})"
     share = f"((length({text}) - length(replace({text}, c, ''))) / CAST({n} AS DOUBLE))"
     return f"""CASE WHEN length({text}) = 0 THEN CAST(0 AS DOUBLE)
-      ELSE -list_sum(list_transform(list_distinct(string_split({text}, '')), lambda c: {share} * log2({share}))) END"""
+      ELSE 0 - list_sum(list_transform(list_distinct(string_split({text}, '')), lambda c: {share} * log2({share}))) END"""
 
 
 def label_entropy(domain: str) -> str:

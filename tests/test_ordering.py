@@ -68,6 +68,8 @@ def test_small_table_lookup_both_ways(spark, skewed, max_rows):
     want = _plain(skewed, table)
     assert ours.count() == 3000
     assert ours.exceptAll(want.select(ours.columns)).count() == 0
+    inner = small_table_lookup(skewed, table, ["key"], spread=["id"], how="inner", max_rows=max_rows)
+    assert inner.count() == want.filter("name is not null").count()
 
 
 def test_hot_rows_spread_over_partitions(spark, skewed):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wireloom.functions import fixed_values as fixed
 from wireloom.functions.entropy import looks_generated
-from wireloom.functions.text import any_of, choose, contains_any
+from wireloom.functions.text import any_of, choose, computed_once, contains_any
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
@@ -81,7 +81,7 @@ def with_mitre(df: DataFrame, reason: str = "ai_reason", word_boundaries: bool =
     staged = df.withColumn(
         "_text", rule_text(F.col("alert_type"), F.col("domain"), F.col(reason), F.col("summary"))
     )
-    staged = staged.withColumn("_m", mitre_struct(F.col("_text"), F.col("domain"), word_boundaries))
+    staged = computed_once(staged, "_m", mitre_struct(F.col("_text"), F.col("domain"), word_boundaries))
     return staged.select(*df.columns, "_m.*")
 
 

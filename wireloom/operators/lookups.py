@@ -14,7 +14,8 @@ from wireloom.session import materialize
 # thousand, and a list of 1,000 keys is always small enough to broadcast.
 HOT_KEYS = 1000
 SALTS = 256
-BROADCAST_ROWS = 20_000
+# Rows of at most a few hundred bytes each: some tens of megabytes per executor.
+BROADCAST_ROWS = 100_000
 
 
 def heaviest_keys(rows: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS) -> DataFrame:
@@ -60,20 +61,17 @@ def small_table_lookup(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join with a table that is expected, but not known, to be small.
+    """Join with a table that is expected, but not known, to be small (``how``: left or inner).
 
     The table is written once to reliable storage and counted. Up to ``max_rows`` it is
-    broadcast; beyond that it is copied once per salt and joined on key and salt, so a key that
-    holds a third of ``left`` still spreads over ``SALTS`` tasks.
+    broadcast; a larger one is joined by ``hot_key_lookup``, so that a key with a third of the
+    rows of ``left`` still spreads.
     """
     table = materialize(table)
     payload = [c for c in table.columns if c not in keys]
-    named = table.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], *payload)
-    pairs = [(k, f"_t{i}") for i, k in enumerate(keys)]
-    out = [*left.columns, *payload]
     if table.count() <= max_rows:
-        return left.join(F.broadcast(named), null_safe(left, named, pairs), how).select(*out)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    copies = named.withColumn("_tsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    condition = null_safe(salted, copies, pairs) & (salted["_salt"] == copies["_tsalt"])
-    return salted.join(copies, condition, how).select(*out)
+        named = table.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], *payload)
+        condition = null_safe(left, named, [(k, f"_t{i}") for i, k in enumerate(keys)])
+        return left.join(F.broadcast(named), condition, how).select(*left.columns, *payload)
+    found = hot_key_lookup(left, table.withColumn("_found", F.lit(True)), keys, spread)
+    return (found.filter("_found") if how == "inner" else found).drop("_found")

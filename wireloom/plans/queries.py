@@ -31,7 +31,7 @@ from wireloom.operators.ordering import SPLIT_ROWS, distributed_row_number
 from wireloom.operators.scoring import heuristic_predictions
 from wireloom.plans import detect, report, train
 from wireloom.schemas import INCIDENT_COLUMNS, PARSED_COLUMNS, PREDICTION_COLUMNS
-from wireloom.session import scratch_path
+from wireloom.session import materialize, scratch_path
 from wireloom.sources import flows as fl
 from wireloom.sources import json_lines, lines, router, sinks
 from wireloom.streaming import live
@@ -83,13 +83,15 @@ def scan_log_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def route_formats(spark: SparkSession, sf: str) -> DataFrame:
-    mixed = fl.render_mixed(fl.flows(spark, sf))
+    mixed = materialize(fl.render_mixed(fl.flows(spark, sf)))
     profile = router.choose_routes(mixed)
     routes = profile.select(*lines.FILE_KEYS, "route")
     found = router.parse_logs(mixed, profile).groupBy(*lines.FILE_KEYS).agg(F.count(F.lit(1)).alias("events"))
     return routes.join(found, lines.FILE_KEYS, "left")
 
 
+# Parsers that need a file's header pass over its lines more than once. Lines made from
+# ``flows`` are written once for them, which is what a log file on storage would be.
 def _parsed(events: DataFrame) -> DataFrame:
     shown = [c for c in PARSED_COLUMNS if c != "raw"]
     return events.select("organization_id", "batch_id", *_line_seq(), *shown)
@@ -102,12 +104,12 @@ def normalize_eve(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def normalize_zeek_tsv(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(router.normalize_zeek_tsv(fl.render_zeek_tsv(fl.flows(spark, sf))))
+    return _parsed(router.normalize_zeek_tsv(materialize(fl.render_zeek_tsv(fl.flows(spark, sf)))))
 
 
 @query
 def zeek_log_type(spark: SparkSession, sf: str) -> DataFrame:
-    profile = router.file_profile(fl.render_zeek_tsv(fl.flows(spark, sf)), count_json=False)
+    profile = router.file_profile(materialize(fl.render_zeek_tsv(fl.flows(spark, sf))), count_json=False)
     return profile.select("organization_id", "batch_id", "has_zeek_header", "zeek_type", "n_lines")
 
 
@@ -135,13 +137,13 @@ def json_accept_ratio(spark: SparkSession, sf: str) -> DataFrame:
     digit = F.col("k") % 10
     other = F.when(digit == 9, "").otherwise("no event here")
     text = fl.render_eve(_tenant_stream(spark, sf), F.when(digit < share, fl.eve_json()).otherwise(other))
-    profile = router.file_profile(text)
+    profile = router.file_profile(materialize(text))
     return profile.select("batch_id", "n_lines", "n_json", "n_corrupt", router.json_accepted().alias("accepted"))
 
 
 @query
 def normalize_csv(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(router.normalize_csv(fl.render_csv(fl.flows(spark, sf))))
+    return _parsed(router.normalize_csv(materialize(fl.render_csv(fl.flows(spark, sf)))))
 
 
 @query
@@ -218,7 +220,7 @@ def incident_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def zeek_risk(spark: SparkSession, sf: str) -> DataFrame:
-    events = router.normalize_zeek_tsv(fl.render_zeek_tsv(fl.flows(spark, sf)))
+    events = router.normalize_zeek_tsv(materialize(fl.render_zeek_tsv(fl.flows(spark, sf))))
     return events.groupBy("source", "alert_type", "risk_level").agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -46,40 +46,23 @@ def type_from_fields(names: Column) -> Column:
     )
 
 
-def file_profile(lines: DataFrame, count_json: bool = True) -> DataFrame:
-    """One row per file: line count, JSON yield, Zeek type and cells, CSV cells.
+def line_counts(lines: DataFrame, count_json: bool = True) -> DataFrame:
+    """Per file: lines, JSON events, corrupt JSON lines and the place of the first line with content.
 
-    Lines are first reduced per (file, block), so one huge file is counted by many tasks; only
-    those block rows are combined per file. The line count runs from the first line with
-    content to the last one; blank lines between them count.
+    Lines are reduced per (file, block) to plain numbers, which are hash-aggregated before the
+    shuffle, so one huge file is counted by many tasks and no text moves. The line count runs
+    from the first line with content to the last one; blank lines between them count.
     """
-    value, line_id = F.col("value"), F.col("line_id")
     checked = with_json_outcome(lines) if count_json else lines.withColumns(
         {"json_ok": F.lit(False), "json_corrupt": F.lit(False)}
     )
-    is_path = F.startswith(value, F.lit("#path"))
-    is_fields = F.startswith(value, F.lit("#fields"))
-    path_type = F.when(is_path, type_from_path(value))
-    fields_type = F.when(is_fields, type_from_fields(field_names(value)))
-    marks = checked.select(
-        *FILE_KEYS, *ORDER, "value", "json_ok", "json_corrupt",
-        F.when(~is_blank(value), line_id).alias("_content"),
-        F.when(starts_with_any(value, HEADER_MARKS), line_id).alias("_mark"),
-        F.when(is_fields, line_id).alias("_fields"),
-        path_type.alias("_path_type"), F.when(path_type.isNotNull(), line_id).alias("_path"),
-        fields_type.alias("_alt_type"), F.when(fields_type.isNotNull(), line_id).alias("_alt"),
-    )
-    blocks = marks.groupBy(*FILE_KEYS, "block").agg(
+    content = F.when(~is_blank(F.col("value")), F.col("line_id"))
+    blocks = checked.groupBy(*FILE_KEYS, "block").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("json_ok").alias("json_ok"),
         F.count_if("json_corrupt").alias("json_corrupt"),
         F.min("line_id").alias("low"), F.max("line_id").alias("high"),
-        F.min("_content").alias("first"), F.max("_content").alias("last"),
-        F.min_by("value", "_content").alias("head"),
-        F.min("_mark").alias("mark"),
-        F.min("_fields").alias("fields_id"), F.min_by("value", "_fields").alias("fields_line"),
-        F.min("_path").alias("path_id"), F.min_by("_path_type", "_path").alias("path_type"),
-        F.min("_alt").alias("alt_id"), F.min_by("_alt_type", "_alt").alias("alt_type"),
+        F.min(content).alias("first"), F.max(content).alias("last"),
     )
     per_file = W.partitionBy(*FILE_KEYS)
     with_content = F.when(F.col("first").isNotNull(), F.col("block"))
@@ -87,38 +70,44 @@ def file_profile(lines: DataFrame, count_json: bool = True) -> DataFrame:
     lead = F.when(F.col("block") == F.col("b0"), F.col("first") - F.col("low")).otherwise(0)
     tail = F.when(F.col("block") == F.col("b1"), F.col("high") - F.col("last")).otherwise(0)
     counted = F.when(F.col("block").between(F.col("b0"), F.col("b1")), F.col("n") - lead - tail).otherwise(0)
-
-    def earliest(position: str, *values: str) -> Column:
-        return F.min(F.when(F.col(position).isNotNull(), F.struct("block", position, *values)))
-
-    found = framed.filter(F.col("b0").isNotNull()).groupBy(*FILE_KEYS).agg(
+    return framed.filter(F.col("b0").isNotNull()).groupBy(*FILE_KEYS).agg(
         F.sum(counted).alias("n_lines"),
         F.sum("json_ok").alias("n_json"),
         F.sum("json_corrupt").alias("n_corrupt"),
-        earliest("first", "head").alias("h"),
-        earliest("mark").alias("m"),
-        earliest("fields_id", "fields_line").alias("f"),
-        earliest("path_id", "path_type").alias("p"),
-        earliest("alt_id", "alt_type").alias("a"),
+        F.min("b0").alias("head_block"),
+        F.min(F.when(F.col("block") == F.col("b0"), F.col("first"))).alias("head_id"),
     )
 
-    def within(what: str, position: str, lines_from_top: int) -> Column:
-        near = (F.col(f"{what}.block") == F.col("h.block")) & (
-            F.col(f"{what}.{position}") - F.col("h.first") < lines_from_top
-        )
-        return F.coalesce(near, F.lit(False))
 
-    zeek_type = F.coalesce(
-        F.when(within("p", "path_id", 10), F.col("p.path_type")),
-        F.when(within("a", "alt_id", 10), F.col("a.alt_type")),
+def file_profile(lines: DataFrame, count_json: bool = True) -> DataFrame:
+    """One row per file: line counts, JSON yield, Zeek type and cells, CSV cells.
+
+    A first pass counts; a second one keeps just the first line and the ``#`` lines of each file
+    and reads the headers out of them.
+    """
+    counts = line_counts(lines, count_json)
+    value = F.col("value")
+    placed = small_table_lookup(lines, counts, FILE_KEYS, spread=ORDER, how="inner")
+    is_head = (F.col("block") == F.col("head_block")) & (F.col("line_id") == F.col("head_id"))
+    top = placed.filter(is_head | F.startswith(value, F.lit("#")))
+    nth = F.when(F.col("block") == F.col("head_block"), F.col("line_id") - F.col("head_id"))
+    near = lambda n: F.coalesce(nth < n, F.lit(False))
+    is_fields = F.startswith(value, F.lit("#fields"))
+    named = F.when(F.startswith(value, F.lit("#path")) & near(10), type_from_path(value))
+    told = F.when(is_fields & near(10), type_from_fields(field_names(value)))
+    place = F.struct("block", "line_id")
+
+    def earliest(what: Column) -> Column:
+        return F.min_by(what, F.when(what.isNotNull(), place))
+
+    found = top.groupBy(*FILE_KEYS, "n_lines", "n_json", "n_corrupt", "head_block", "head_id").agg(
+        F.max(F.when(is_head, value)).alias("head"),
+        F.bool_or(starts_with_any(value, HEADER_MARKS) & near(5)).alias("has_zeek_header"),
+        F.coalesce(earliest(named), earliest(told)).alias("zeek_type"),
+        earliest(F.when(is_fields, value)).alias("fields_line"),
     )
-    staged = found.select(
-        *FILE_KEYS, "n_lines", "n_json", "n_corrupt",
-        F.col("h.block").alias("head_block"), F.col("h.first").alias("head_id"),
-        within("m", "mark", 5).alias("has_zeek_header"),
-        zeek_type.alias("zeek_type"),
-        F.when(F.col("f").isNotNull(), field_names(F.col("f.fields_line"))).alias("_names"),
-        delimited.csv_cells(F.ltrim(F.col("h.head"))).alias("_header"),
+    staged = found.withColumns(
+        {"_names": field_names(F.col("fields_line")), "_header": delimited.csv_cells(F.ltrim(F.col("head")))}
     )
     return staged.select(
         *FILE_KEYS, "n_lines", "n_json", "n_corrupt", "head_block", "head_id", "has_zeek_header", "zeek_type",
@@ -188,14 +177,22 @@ def choose_routes(lines: DataFrame) -> DataFrame:
 
 def parse_logs(lines: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     """Events of any mix of files, each read in the format its content shows."""
-    routed = _with_profile(lines, choose_routes(lines) if routes is None else routes)
-    part = lambda route: routed.filter(F.col("route") == route)
-    parsed = [
-        delimited.parse_zeek_tsv(part("zeek_tsv")),
-        parse_json(part("json").select(*LINE_COLUMNS)),
-        delimited.parse_csv(part("csv")),
-        delimited.parse_plain(part("plain")),
-    ]
+    routes = materialize(choose_routes(lines) if routes is None else routes)
+    present = {r.route for r in routes.select("route").distinct().collect()}  # four at most
+
+    def part(route: str) -> DataFrame:
+        return _with_profile(lines, routes.filter(F.col("route") == route))
+
+    parsers = {
+        "zeek_tsv": delimited.parse_zeek_tsv,
+        "json": lambda of_file: parse_json(of_file.select(*LINE_COLUMNS)),
+        "csv": delimited.parse_csv,
+        "plain": delimited.parse_plain,
+    }
+    # a pass over the lines only for formats that occur
+    parsed = [parse(part(route)) for route, parse in parsers.items() if route in present]
+    if not parsed:
+        parsed = [parse_json(lines)]
     return reduce(lambda a, b: a.unionByName(b), parsed)
 
 
