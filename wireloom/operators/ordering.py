@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # rows of one group handled by one task of a split window
-SPLIT_ROWS = 1 << 18
+SPLIT_ROWS = 1 << 16
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
