@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from wireloom.functions import fixed_values as fixed
 from wireloom.functions.text import choose, starts_with_any, strip
 from wireloom.operators.lookups import small_table_lookup
-from wireloom.session import materialize
+from wireloom.schemas import EVENT_SCHEMA
+from wireloom.session import materialize, scratch_path
 from wireloom.sources import delimited
 from wireloom.sources.json_lines import parse_json, with_json_outcome
 from wireloom.sources.lines import FILE_KEYS, LINE_COLUMNS, ORDER, is_blank, number_events
@@ -196,7 +197,18 @@ def parse_logs(lines: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parsed)
 
 
-def read_events(lines: DataFrame, log_format: str = "auto") -> DataFrame:
+def store_events(events: DataFrame) -> DataFrame:
+    """Write events to a scratch table in the shared folder and read them back.
+
+    Detection reads its events several times, each time a few columns; without this every read
+    would parse the text and number the events again. The table may be deleted after the job.
+    """
+    path = scratch_path(events.sparkSession, "events")
+    events.write.parquet(path)
+    return events.sparkSession.read.schema(EVENT_SCHEMA).parquet(path)
+
+
+def read_events(lines: DataFrame, log_format: str = "auto", store: bool = True) -> DataFrame:
     """Numbered events. Naming the format saves the passes that find it out."""
     parsers = {
         "auto": parse_logs,
@@ -205,4 +217,5 @@ def read_events(lines: DataFrame, log_format: str = "auto") -> DataFrame:
         "csv": normalize_csv,
         "plain": normalize_plain,
     }
-    return number_events(parsers[log_format](lines))
+    events = number_events(parsers[log_format](lines))
+    return store_events(events) if store else events
