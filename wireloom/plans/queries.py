@@ -575,7 +575,7 @@ def stream_tail(spark: SparkSession, sf: str) -> DataFrame:
 def stream_detect(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "live")
     live.run_live(
-        spark, _log_folder(spark, sf), f"{out}/incidents", f"{out}/checkpoint", f"{out}/feed", max_files=4, once=True
+        spark, _log_folder(spark, sf), f"{out}/incidents", f"{out}/checkpoint", f"{out}/feed", once=True
     ).awaitTermination()
     table = sinks.IncidentTable(spark, f"{out}/incidents").read()
     return table.select("source_ip", "destination_ip", "domain", "timestamp", "alert_type", "risk_level", "status")

@@ -17,6 +17,8 @@ def build_session(app: str = "wireloom", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoint files of tables no longer referenced are deleted
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # call sites of every expression are of use in notebooks only and slow down planning
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

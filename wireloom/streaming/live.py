@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wireloom.operators.ordering import distributed_row_number
 from wireloom.plans.detect import Scorer, as_incidents, score_incidents
 from wireloom.schemas import EVENT_SCHEMA, PARSED_COLUMNS
+from wireloom.session import materialize
 from wireloom.sources import json_lines
 from wireloom.sources.lines import FILE_KEYS, label_lines, with_line_ids
 from wireloom.sources.sinks import IncidentTable, alert_feed
@@ -50,22 +51,16 @@ def process_batch(
     """
 
     def run(lines: DataFrame, epoch: int) -> None:
-        # kept for the few passes over this batch; a lost executor's part is read again
-        events = as_batch(lines, f"epoch-{epoch}").persist()
+        # stored copies keep the plans short; the session setting cleans them up once they are unused
+        events = materialize(as_batch(lines, f"epoch-{epoch}"))
         scored = score_incidents(events, scorer)
         incidents = as_incidents(scored.withColumn("id", F.lit(epoch * IDS_PER_BATCH) + F.col("seq")), "id")
-        # the stored files are listed here, so what counts as new does not change with the append
-        fresh = table.new_incidents(incidents).persist()
-        try:
-            if fresh.isEmpty():
-                return
-            if feed_path:
-                target = f"{feed_path}/epoch={epoch}"
-                alert_feed(fresh).write.mode("overwrite").partitionBy("organization_id").json(target)
-            table.append(fresh)
-        finally:
-            fresh.unpersist()
-            events.unpersist()
+        fresh = materialize(table.new_incidents(incidents))
+        if fresh.isEmpty():
+            return
+        if feed_path:
+            alert_feed(fresh).write.mode("overwrite").partitionBy("organization_id").json(f"{feed_path}/epoch={epoch}")
+        table.append(fresh)
 
     return run
 
