@@ -23,7 +23,7 @@ r AS (
 l AS (
   SELECT a.i, ((SELECT 1.5::DOUBLE * sum(source_size) FROM s) - coalesce((SELECT sum(b.cap) FROM r b WHERE b.i < a.i), 0))
               / (SELECT sum(b.weight) FROM r b WHERE b.i >= a.i) AS level, a.full_at FROM r a),
-f AS (SELECT min(level) AS final FROM l WHERE full_at > level),
+f AS (SELECT arg_min(level, i) AS final FROM l WHERE full_at > level),
 t AS (SELECT source, source_size, coalesce(least(cap, weight * final), cap) AS target FROM r, f),
 e AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),

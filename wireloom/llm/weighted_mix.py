@@ -55,9 +55,10 @@ def source_targets(sizes: DataFrame, share: float, weights: Sequence[float], cap
         .withColumn("capped", F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
         .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", level)
+        .withColumn("place", F.row_number().over(ratio))
     )
     # the level of the first source that the budget does not fill holds for all that follow it
-    final = F.min(F.when(~at_cap, F.col("level"))).over(everything)
+    final = F.min(F.when(~at_cap, F.struct("place", "level"))).over(everything)["level"]
     return weighed.select(
         "source", "source_size",
         F.coalesce(F.least("limit", F.col("weight") * final), F.col("limit")).alias("target"),
