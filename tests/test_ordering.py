@@ -4,9 +4,8 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wireloom.operators import lookups
 from wireloom.operators.features import ip_diversity, port_diversity
-from wireloom.operators.lookups import hot_key_lookup, small_table_lookup
+from wireloom.operators.lookups import key_lookup
 from wireloom.operators.ordering import distributed_row_number, with_trailing
 
 
@@ -51,36 +50,39 @@ def _plain(left, table):
     return left.join(renamed, left["key"].eqNullSafe(renamed["k2"]), "left").drop("k2")
 
 
-@pytest.mark.parametrize("hot_keys", [1, 1000])
-def test_hot_key_lookup_equals_join(spark, skewed, monkeypatch, hot_keys):
-    monkeypatch.setattr(lookups, "HOT_KEYS", hot_keys)
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_key_lookup_equals_join(spark, skewed, limit):
     table = spark.createDataFrame([(0, "a"), (1, "b"), (None, "n"), (99, "z")], "key long, name string")
-    ours = hot_key_lookup(skewed, table, ["key"], spread=["id"])
-    want = _plain(skewed, table)
-    assert ours.count() == 3000
-    assert ours.exceptAll(want.select(ours.columns)).count() == 0
-
-
-@pytest.mark.parametrize("max_rows", [0, 100])
-def test_small_table_lookup_both_ways(spark, skewed, max_rows):
-    table = spark.createDataFrame([(0, "a"), (1, "b"), (None, "n")], "key long, name string")
-    ours = small_table_lookup(skewed, table, ["key"], spread=["id"], max_rows=max_rows)
-    want = _plain(skewed, table)
-    assert ours.count() == 3000
-    assert ours.exceptAll(want.select(ours.columns)).count() == 0
-    inner = small_table_lookup(skewed, table, ["key"], spread=["id"], how="inner", max_rows=max_rows)
-    assert inner.count() == want.filter("name is not null").count()
-
-
-def test_hot_rows_spread_over_partitions(spark, skewed):
-    """The join puts the hot key's rows into many shuffle partitions, not one."""
-    table = spark.createDataFrame([(0, "a")], "key long, name string")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     try:
-        joined = hot_key_lookup(skewed, table, ["key"], spread=["id"]).filter("key = 0")
-        used = joined.select(F.spark_partition_id().alias("p")).distinct().count()
+        ours, want = key_lookup(skewed, table, ["key"]), _plain(skewed, table)
+        assert ours.count() == 3000
+        assert ours.exceptAll(want.select(ours.columns)).count() == 0
+        inner = key_lookup(skewed, table, ["key"], how="inner")
+        assert inner.count() == want.filter("name is not null").count()
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert used > 1
+
+
+def test_hot_keys_of_any_number_are_split(spark):
+    """5,000 keys with 20 rows each and one key with half of all rows: no task gets the hot key whole."""
+    rows = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 5000).alias("key"),
+                                       F.md5(F.col("id").cast("string")).alias("load"))
+    table = spark.range(5000).select(F.col("id").alias("key"), F.col("id").cast("string").alias("name"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = key_lookup(rows.repartition(32), table, ["key"]).withColumn("p", F.spark_partition_id())
+        sizes = joined.groupBy("p").agg(F.count("*").alias("rows"), F.max("load"), F.max("name"))
+        per_task = [r["rows"] for r in sizes.collect()]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(per_task) == 200_000 and max(per_task) < 40_000

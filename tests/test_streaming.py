@@ -88,3 +88,44 @@ def test_reads_prune_partitions(spark, tmp_path):
     table.append_new(incoming)
     plan = table.stored_for(incoming.limit(1))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "event_day" in plan.split("PartitionFilters")[1]
+
+
+def _incident(spark, rows):
+    from wireloom.schemas import INCIDENT_SCHEMA
+
+    blank = {f.name: None for f in INCIDENT_SCHEMA}
+    return spark.createDataFrame([tuple({**blank, **r}.values()) for r in rows], INCIDENT_SCHEMA)
+
+
+def test_epoch_stamps_and_null_tenants_are_stored_once(spark, tmp_path):
+    rows = [{"id": i, "organization_id": None if i % 2 else 1, "timestamp": str(1773964800 + i), "source_ip": "10.0.0.1",
+             "destination_ip": "10.0.0.2", "alert_type": "x", "status": "Active"} for i in range(40)]
+    table = IncidentTable(spark, f"{tmp_path}/table")
+    incoming = _incident(spark, rows)
+    table.append_new(incoming)
+    table.append_new(incoming)
+    assert table.read().count() == 40
+    assert table.read().select("event_day").distinct().count() == 1
+
+
+def test_status_changes_reach_the_stored_table(spark, tmp_path):
+    rows = [{"id": i, "organization_id": i % 3, "timestamp": f"2026-03-2{i % 4}T00:00:00", "status": "Active"} for i in range(24)]
+    table = IncidentTable(spark, f"{tmp_path}/table")
+    table.append(_incident(spark, rows))
+    changes = spark.createDataFrame([(3, "Resolved", "a"), (4, "Blocked", "a"), (999, "Blocked", "a")], "id long, status string, actor string")
+    feed = table.set_status(changes)
+    assert {r.incident_id for r in feed.collect()} == {3, 4}
+    states = {r.id: r.status for r in table.read().collect()}
+    assert len(states) == 24 and states[3] == "Resolved" and states[4] == "Blocked"
+    assert sum(s == "Active" for s in states.values()) == 22
+
+
+def test_ids_do_not_overflow_at_late_epochs(spark, tmp_path):
+    from wireloom.streaming.live import process_batch
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(eve(3)))
+    raw = lines.scan_log_lines(spark, f"{tmp_path}/in", 1).drop("line_id")
+    table = IncidentTable(spark, f"{tmp_path}/table")
+    process_batch(table)(raw, 1 << 24)
+    assert table.read().agg({"id": "min"}).first()[0] >= 1 << 56

@@ -17,6 +17,11 @@ def utc_day(timestamp: Column) -> Column:
     return F.to_date(event_ts(timestamp))
 
 
+def partition_day(timestamp: Column) -> Column:
+    """UTC day as text, "Unknown" for a time stamp that is no instant; for storage by day."""
+    return F.coalesce(F.date_format(utc_day(timestamp), "yyyy-MM-dd"), F.lit("Unknown"))
+
+
 def text_day(timestamp: Column) -> Column:
     """Leading ten characters, "Unknown" when there is no time stamp."""
     present = F.coalesce(timestamp, F.lit("")) != ""

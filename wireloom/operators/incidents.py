@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wireloom.functions import rules
 from wireloom.functions.network import valid_endpoints
-from wireloom.operators.lookups import hot_key_lookup
+from wireloom.operators.lookups import key_lookup
 from wireloom.schemas import PREDICTION_COLUMNS, PUBLIC_INCIDENT_COLUMNS
 
 BATCH_PAIR = ["organization_id", "batch_id", "source_ip", "destination_ip"]
@@ -46,24 +46,19 @@ def first_match_predictions(
     values: Sequence[str] = PREDICTION_COLUMNS,
     keys: Sequence[str] = BATCH_PAIR,
     order: str = "seq",
-    small_batches: bool = False,
 ) -> DataFrame:
     """Give each incident the prediction of the first event of its batch with the same two ends.
 
     The first event per pair is found by a map-side combined aggregate, so the lookup table has
-    one row per pair however often a pair occurs; hot pairs are salted in the join. With
-    ``small_batches`` (bounded by construction) no pair can be hot and the salting is skipped.
+    one row per pair however often a pair occurs.
     """
     firsts = predictions.groupBy(*keys).agg(F.min_by(F.struct(*values), order).alias("_first"))
-    if small_batches:
-        joined = incidents.join(firsts, list(keys), "left")
-    else:
-        joined = hot_key_lookup(incidents, firsts, keys, spread=[order])
+    joined = key_lookup(incidents, firsts, keys)
     return joined.select(*incidents.columns, *[F.col(f"_first.{v}").alias(v) for v in values])
 
 
 def flag_duplicates(
-    incoming: DataFrame, stored: DataFrame, per_tenant: bool = True, spread: Sequence[str] = ("seq",)
+    incoming: DataFrame, stored: DataFrame, per_tenant: bool = True
 ) -> DataFrame:
     """Add ``is_duplicate``: an incident with the same key is stored already.
 
@@ -72,7 +67,7 @@ def flag_duplicates(
     """
     keys = INCIDENT_KEY if per_tenant else INCIDENT_KEY[1:]
     known = stored.select(*keys).distinct().withColumn("_known", F.lit(True))
-    looked_up = hot_key_lookup(incoming, known, keys, spread)
+    looked_up = key_lookup(incoming, known, keys)
     return looked_up.withColumn("is_duplicate", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
@@ -88,7 +83,7 @@ def dedup_incidents(
     Equal incidents inside one batch all stay, as the stored side is read before the batch is
     written; ``within_batch`` keeps only the one with the lowest ``order``.
     """
-    fresh = flag_duplicates(incoming, stored, per_tenant, spread=[order]).filter(~F.col("is_duplicate"))
+    fresh = flag_duplicates(incoming, stored, per_tenant).filter(~F.col("is_duplicate"))
     fresh = fresh.drop("is_duplicate")
     if not within_batch:
         return fresh

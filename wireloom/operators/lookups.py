@@ -8,70 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.operators.ordering import null_safe
-from wireloom.session import materialize
 
-# Keys treated as hot. Beyond the heaviest 1,000 no key can hold more than one row in a
-# thousand, and a list of 1,000 keys is always small enough to broadcast.
-HOT_KEYS = 1000
-SALTS = 256
-# Rows of at most a few hundred bytes each: some tens of megabytes per executor.
-BROADCAST_ROWS = 100_000
 
+def key_lookup(left: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join ``left`` with ``table``, which has one row per key (``how``: left or inner). Null equals null.
 
-def heaviest_keys(rows: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS) -> DataFrame:
-    """The ``limit`` most frequent keys. Only the key columns are read, and counts are combined
-    before they shuffle."""
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight"))
-    return counted.orderBy(F.desc("_weight")).limit(limit).select(*keys)
-
-
-def hot_key_lookup(
-    left: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str], hot: DataFrame | None = None
-) -> DataFrame:
-    """Left join of ``left`` with ``table`` (one row per key) in which no key is a hot spot.
-
-    The heaviest keys of ``left`` (a list cut to ``HOT_KEYS`` rows, so its broadcast is bounded)
-    are salted: their rows in ``left`` spread over ``SALTS`` partitions, and their single rows in
-    ``table`` are copied to each. All other keys join as usual. Null equals null.
-    """
-    hot = (heaviest_keys(left, keys) if hot is None else hot).limit(HOT_KEYS)
-    hot = F.broadcast(hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot")))
-    hot_pairs = [(k, f"_h{i}") for i, k in enumerate(keys)]
-    payload = [c for c in table.columns if c not in keys]
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS))
-    zero = F.lit(0).cast("long")
-    salted = left.join(hot, null_safe(left, hot, hot_pairs), "left").select(
-        *left.columns, F.when(F.col("_hot"), salt).otherwise(zero).alias("_salt")
-    )
-    every = F.sequence(zero, F.lit(SALTS - 1).cast("long"))
-    copies = table.join(hot, null_safe(table, hot, hot_pairs), "left").select(
-        *[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)],
-        *payload,
-        F.explode(F.when(F.col("_hot"), every).otherwise(F.array(zero))).alias("_tsalt"),
-    )
-    pairs = [*[(k, f"_t{i}") for i, k in enumerate(keys)], ("_salt", "_tsalt")]
-    return salted.join(copies, null_safe(salted, copies, pairs), "left").select(*left.columns, *payload)
-
-
-def small_table_lookup(
-    left: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join with a table that is expected, but not known, to be small (``how``: left or inner).
-
-    The table is written once to reliable storage and counted. Up to ``max_rows`` it is
-    broadcast; a larger one is joined by ``hot_key_lookup``, so that a key with a third of the
-    rows of ``left`` still spreads.
+    A plain equi join: the engine broadcasts a table that its shuffle statistics show to be small,
+    and else splits every partition of ``left`` that is too large for a task and hands each piece
+    the few table rows it needs. Any number of hot keys is covered, whatever their weight, and
+    ``left`` is read once.
     """
-    table = materialize(table)
     payload = [c for c in table.columns if c not in keys]
-    if table.count() <= max_rows:
-        named = table.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], *payload)
-        condition = null_safe(left, named, [(k, f"_t{i}") for i, k in enumerate(keys)])
-        return left.join(F.broadcast(named), condition, how).select(*left.columns, *payload)
-    found = hot_key_lookup(left, table.withColumn("_found", F.lit(True)), keys, spread)
-    return (found.filter("_found") if how == "inner" else found).drop("_found")
+    named = table.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], *payload)
+    condition = null_safe(left, named, [(k, f"_t{i}") for i, k in enumerate(keys)])
+    return left.join(named, condition, how).select(*left.columns, *payload)

@@ -47,13 +47,8 @@ def query(function: Query) -> Query:
     return function
 
 
-# Batches of ``flows`` hold at most 50 events by construction (floor(seq / 50)), so their
-# windows need no split.
-SMALL_BATCH = None
-
-
 def _incidents(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.detect_incidents(fl.flows(spark, sf), small_batches=True)
+    return detect.detect_incidents(fl.flows(spark, sf))
 
 
 def _tenant_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,7 +245,7 @@ def threat_reason(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def heuristic_classify(spark: SparkSession, sf: str) -> DataFrame:
-    features = flow_features(fl.flows(spark, sf), ["seq"], HEURISTIC_FEATURES, SMALL_BATCH)
+    features = flow_features(fl.flows(spark, sf), ["seq"], HEURISTIC_FEATURES)
     return features.select(
         "seq", heuristic_category(False).alias("category_raw"), heuristic_category(True).alias("category_scaled")
     )
@@ -258,7 +253,7 @@ def heuristic_classify(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def apply_alert_override(spark: SparkSession, sf: str) -> DataFrame:
-    return heuristic_predictions(fl.flows(spark, sf), split_rows=SMALL_BATCH).select("seq", *PREDICTION_COLUMNS)
+    return heuristic_predictions(fl.flows(spark, sf)).select("seq", *PREDICTION_COLUMNS)
 
 
 @query
@@ -277,7 +272,7 @@ def score_backfill(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def map_mitre(spark: SparkSession, sf: str) -> DataFrame:
     found = incidents.detect_suspicious(fl.flows(spark, sf))
-    own = heuristic_predictions(fl.flows(spark, sf), split_rows=SMALL_BATCH).select("seq", "ai_reason")
+    own = heuristic_predictions(fl.flows(spark, sf)).select("seq", "ai_reason")
     mapped = with_mitre(found.join(own, "seq"))
     return mapped.select("seq", "mitre_tactic_id", "mitre_tactic", "mitre_technique_id", "mitre_technique")
 
@@ -334,7 +329,7 @@ def extract_port(spark: SparkSession, sf: str) -> DataFrame:
 def first_match_join(spark: SparkSession, sf: str) -> DataFrame:
     f = fl.flows(spark, sf)
     suspicious = incidents.detect_suspicious(f)
-    predictions = heuristic_predictions(f, split_rows=SMALL_BATCH)
+    predictions = heuristic_predictions(f)
     return incidents.first_match_predictions(suspicious, predictions).select("seq", *PREDICTION_COLUMNS)
 
 
@@ -446,7 +441,7 @@ def ip_diversity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def port_diversity(spark: SparkSession, sf: str) -> DataFrame:
-    framed = with_context(fl.flows(spark, sf), ["port_diversity"], SMALL_BATCH)
+    framed = with_context(fl.flows(spark, sf), ["port_diversity"])
     return framed.select("seq", "port_diversity")
 
 
@@ -535,13 +530,13 @@ def alert_feed(spark: SparkSession, sf: str) -> DataFrame:
 # --- features -----------------------------------------------------------------------------
 @query
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    features = flow_features(fl.flows(spark, sf), ["seq"], split_rows=SMALL_BATCH)
+    features = flow_features(fl.flows(spark, sf), ["seq"])
     return features.select("seq", *[F.round(c, 6).alias(c) for c in features.columns if c != "seq"])
 
 
 @query
 def robust_zscores(spark: SparkSession, sf: str) -> DataFrame:
-    features = flow_features(fl.flows(spark, sf), ["seq"], split_rows=SMALL_BATCH)
+    features = flow_features(fl.flows(spark, sf), ["seq"])
     scaled = robust_zscore(features)
     return scaled.select("seq", *[F.round(c, 6).alias(c) for c in scaled.columns if c != "seq"])
 

@@ -74,27 +74,22 @@ def daily_report(incidents: DataFrame, day: dt.date) -> DataFrame:
         F.lit(""),
     )
 
-    def block(section: int, first_line: int, lines: Column) -> DataFrame:
-        placed = counts.select(F.posexplode(lines).alias("line_no", "line"))
-        return placed.select(
-            F.lit(section).alias("section"), F.lit(None).cast("long").alias("neg_id"),
-            (F.col("line_no") + first_line).alias("line_no"), "line",
-        )
-
-    frames = [block(0, 0, head)]
+    def block(section: int, lines: Column) -> Column:
+        return F.transform(lines, lambda line, at: F.struct(
+            F.lit(section).alias("section"), F.lit(None).cast("long").alias("neg_id"), at.cast("int").alias("line_no"), line.alias("line")))
+
+    blocks = [block(0, head)]
     for i, (risk, title) in enumerate(SECTIONS, start=1):
         heading = F.concat(F.lit(f"{title} ("), text(risk), F.lit(")"))
-        empty = F.when(F.col(risk) == 0, F.array(F.lit("  None"), F.lit(""))).otherwise(F.array())
-        frames.append(block(i, 0, F.concat(F.array(F.lit(RULE), heading, F.lit(RULE)), empty)))
-    frames.append(block(4, 0, F.array(F.lit(DOUBLE_RULE), F.lit("  END OF REPORT"), F.lit(DOUBLE_RULE))))
+        none = F.when(F.col(risk) == 0, F.array(F.lit("  None"), F.lit(""))).otherwise(F.array().cast("array<string>"))
+        blocks.append(block(i, F.concat(F.array(F.lit(RULE), heading, F.lit(RULE)), none)))
+    blocks.append(block(4, F.array(F.lit(DOUBLE_RULE), F.lit("  END OF REPORT"), F.lit(DOUBLE_RULE))))
+    frame = counts.select(F.inline(F.concat(*blocks)))  # the counts are computed once
     section = choose((F.col("risk_level") == r, F.lit(i)) for i, (r, _) in enumerate(SECTIONS, start=1))
     body = today.filter(F.col("risk_level").isin([r for r, _ in SECTIONS]))
     body = body.select(section.alias("section"), (-F.col("id")).alias("neg_id"),
                        F.posexplode(_incident_lines()).alias("line_no", "line"))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out.unionByName(body)
+    return frame.unionByName(body)
 
 
 def ordered(report: DataFrame) -> DataFrame:

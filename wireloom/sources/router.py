@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wireloom.functions import fixed_values as fixed
 from wireloom.functions.text import choose, starts_with_any, strip
-from wireloom.operators.lookups import small_table_lookup
+from wireloom.operators.lookups import key_lookup
 from wireloom.schemas import EVENT_SCHEMA
 from wireloom.session import materialize, scratch_path
 from wireloom.sources import delimited
@@ -88,7 +88,7 @@ def file_profile(lines: DataFrame, count_json: bool = True) -> DataFrame:
     """
     counts = line_counts(lines, count_json)
     value = F.col("value")
-    placed = small_table_lookup(lines, counts, FILE_KEYS, spread=ORDER, how="inner")
+    placed = key_lookup(lines, counts, FILE_KEYS, how="inner")
     is_head = (F.col("block") == F.col("head_block")) & (F.col("line_id") == F.col("head_id"))
     top = placed.filter(is_head | F.startswith(value, F.lit("#")))
     nth = F.when(F.col("block") == F.col("head_block"), F.col("line_id") - F.col("head_id"))
@@ -129,7 +129,7 @@ def zeek_candidate() -> Column:
 
 
 def _with_profile(lines: DataFrame, profile: DataFrame) -> DataFrame:
-    return small_table_lookup(lines, profile, FILE_KEYS, spread=ORDER, how="inner")
+    return key_lookup(lines, profile, FILE_KEYS, how="inner")
 
 
 def normalize_zeek_tsv(lines: DataFrame) -> DataFrame:

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.functions.times import text_day
+from wireloom.functions.times import partition_day
 from wireloom.operators.incidents import dedup_incidents
 from wireloom.schemas import INCIDENT_COLUMNS, INCIDENT_SCHEMA
 from wireloom.session import materialize
 
-# tenant first: every read names one; the day comes from the de-duplication key
+# tenant first: every read names one; the day is that of the instant, whatever form its stamp has
 PARTITIONS = ["organization_id", "event_day"]
-# up to this many (tenant, day) cells of a batch become a literal partition filter
-MAX_CELLS = 2000
 
 
 def alert_feed(incidents: DataFrame) -> DataFrame:
@@ -55,17 +53,18 @@ class IncidentTable:
     def stored_for(self, incoming: DataFrame) -> DataFrame:
         """Stored incidents that could equal one of ``incoming``.
 
-        Equal incidents share tenant and day, so only the partitions the batch touches are read.
-        Their list is fetched up to a bound; beyond it the whole table is compared.
+        Equal incidents share tenant and day. Only partitions between the first and the last day of
+        the batch are read, and of these the rows whose tenant and day occur in it, null included.
         """
         stored = self.read()
-        cells = incoming.select("organization_id", text_day(F.col("timestamp")).alias("event_day")).distinct()
-        found = cells.limit(MAX_CELLS + 1).collect()
-        if len(found) > MAX_CELLS:
-            return stored
-        tenants = sorted({r.organization_id for r in found if r.organization_id is not None})
-        days = sorted({r.event_day for r in found})
-        return stored.filter(F.col("organization_id").isin(tenants) & F.col("event_day").isin(days))
+        cells = incoming.select(
+            F.col("organization_id").alias("_tenant"), partition_day(F.col("timestamp")).alias("_day")
+        ).distinct()
+        first, last = cells.agg(F.min("_day"), F.max("_day")).first()
+        if first is None:
+            return stored.limit(0)
+        same = stored["organization_id"].eqNullSafe(cells["_tenant"]) & (stored["event_day"] == cells["_day"])
+        return stored.filter(F.col("event_day").between(first, last)).join(cells, same, "left_semi")
 
     def new_incidents(self, incoming: DataFrame, within_batch: bool = False) -> DataFrame:
         """The incoming incidents that are not stored yet, as of now."""
@@ -84,9 +83,34 @@ class IncidentTable:
     def append(self, incidents: DataFrame) -> None:
         """Append rows. Rebalancing gathers each partition's rows into few files and splits a
         partition that holds too many for one task."""
-        dated = incidents.select(*INCIDENT_COLUMNS, text_day(F.col("timestamp")).alias("event_day"))
+        dated = incidents.select(*INCIDENT_COLUMNS, partition_day(F.col("timestamp")).alias("event_day"))
         dated.hint("rebalance", *PARTITIONS).write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
 
+    def set_status(self, changes: DataFrame, feed_path: str | None = None) -> DataFrame:
+        """Write approved and rejected states into the table and return the messages to the tenants.
+
+        ``changes``: (id, status, actor). Partitions that hold a changed incident are written anew,
+        all others are left alone; an id that is not stored changes nothing.
+        """
+        asked = changes.select(F.col("id").alias("_id"), F.col("status").alias("_status"))
+        stored = self.read()
+        hit = stored.join(asked, stored["id"] == asked["_id"], "left_semi").select(
+            F.col("organization_id").alias("_tenant"), F.col("event_day").alias("_day")
+        ).distinct()
+        where = stored["organization_id"].eqNullSafe(hit["_tenant"]) & (stored["event_day"] == hit["_day"])
+        touched = stored.join(hit, where, "left_semi")
+        named = touched.join(asked, F.col("id") == F.col("_id"), "left")
+        after = materialize(named.withColumn("status", F.coalesce("_status", "status")))
+        written = after.select(*INCIDENT_COLUMNS, "event_day").hint("rebalance", *PARTITIONS)
+        written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.path)
+        feed = after.filter("_id is not null").select(
+            "organization_id", F.col("id").alias("incident_id"), F.lit("incident_status").alias("event"),
+            F.to_json(F.struct(F.col("id").alias("incident_id"), "status")).alias("payload"),
+        )
+        if feed_path:
+            write_feed(feed, feed_path)
+        return feed
+
     def purge(self, organization_id: int, role: str) -> int:
         """Delete a tenant's partition (administrators only) and return how many incidents it held."""
         if role != "ADMIN":

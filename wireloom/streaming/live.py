@@ -21,12 +21,16 @@ from wireloom.sources.lines import FILE_KEYS, label_lines, with_line_ids
 from wireloom.sources.sinks import IncidentTable, alert_feed
 
 POLL = "5 seconds"
-# incident ids of one micro-batch; later batches get higher ids
-IDS_PER_BATCH = 1 << 40
+# incident ids of one micro-batch; later batches get higher ids, and 2^31 batches fit a long
+IDS_PER_BATCH = 1 << 32
 
 
 def tail(spark: SparkSession, folder: str, organization_id: int = 0, max_files: int | None = None) -> DataFrame:
-    """Stream of relevant raw lines. Files are picked up once; rolled files count as new ones."""
+    """Stream of relevant raw lines.
+
+    Files must be moved in complete: a path is picked up once, and lines added to it later are not
+    read. Rolled files count as new ones.
+    """
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -54,7 +58,7 @@ def process_batch(
         # stored copies keep the plans short; the session setting cleans them up once they are unused
         events = materialize(as_batch(lines, f"epoch-{epoch}"))
         scored = score_incidents(events, scorer)
-        incidents = as_incidents(scored.withColumn("id", F.lit(epoch * IDS_PER_BATCH) + F.col("seq")), "id")
+        incidents = as_incidents(scored.withColumn("id", F.lit(epoch).cast("long") * F.lit(IDS_PER_BATCH) + F.col("seq")), "id")
         fresh = materialize(table.new_incidents(incidents))
         if fresh.isEmpty():
             return
