@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_bucket, pick, spans_of, stored
@@ -25,7 +26,7 @@ DEPTH = 5
 # levels from here on are worked out in one pass per partition, the few above them level by level
 SPLIT_LEVEL = 3
 # bytes of text that share one table of words and contexts
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 48 << 20
 BYTES_AT_ONCE = 1 << 21
 # distinct contexts of one partition
 PART_GRAMS = 400_000
@@ -166,6 +167,8 @@ def block_counts(blocks: DataFrame, depth: int, held: int) -> DataFrame:
                 keys, n = _folded(grams)
                 found.append((GRAM, keys.view(np.int64), n))
             for kind, keys, n in found:
+                order = np.argsort(keys)  # neighbours share their high bytes, which packs well
+                keys, n = keys[order], n[order]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)],
                     ["block", "kind", "key", "n"],
@@ -291,7 +294,10 @@ def gram_scores(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 class Lookup:
-    """Values by 64-bit key: a table of hashed places, and a sorted search where two keys share one."""
+    """Values by 64-bit key: a table of hashed places, and a sorted search where two keys share one.
+
+    Keys that are not there take the value given for them.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
@@ -303,12 +309,17 @@ class Lookup:
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
+    def __call__(self, keys: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys)) if other is None else other
         at = self.place[self._hash(keys)]
         off = np.flatnonzero(self.keys[at] != keys)
-        if len(off):
-            at[off] = np.searchsorted(self.keys, keys[off])
-        return self.values[at]
+        at[off] = np.minimum(np.searchsorted(self.keys, keys[off]), len(self.keys) - 1)
+        found = self.values[at]
+        if other is not None:
+            lost = off[self.keys[at[off]] != keys[off]]
+            found[lost] = other[lost]
+        return found
 
 
 def score_texts(docs: DataFrame, parts: int = 10, held: int = 0, depth: int = DEPTH) -> DataFrame:
@@ -321,19 +332,23 @@ def score_texts(docs: DataFrame, parts: int = 10, held: int = 0, depth: int = DE
     """
     rows = pick(docs, "doc_id", "text").withColumn("bucket", id_bucket(F.col("doc_id"), parts).cast("long"))
     blocks = in_blocks(rows)
-    counts = stored(block_counts(blocks, depth, held), "block-counts")
-    totals = stored(counts.filter(f"kind <> {GRAM}").groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
-    train, words = totals.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
+    counts = stored(block_counts(blocks, depth, held), "block-counts", compression="zstd")
+    # a word has one row per block, so its window is no larger than the number of blocks
+    same = W.partitionBy("kind", "key")
+    totals = stored(
+        counts.filter(f"kind <> {GRAM}").withColumns({
+            "total": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block")) == 1
+        }), "words", compression="zstd")
+    train, words = totals.agg(F.sum("n"), F.count_if(F.col("first") & (F.col("total") > 0))).first()
     train, words = train or 0, words or 0
     grams = stored(
         counts.filter(f"kind = {GRAM}").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "grams"
     )
-    values = totals.select("kind", "key", F.col("n").cast("double").alias("value")).union(
-        gram_scores(grams, depth).select(F.lit(GRAM).alias("kind"), F.col("gram").alias("key"), F.col("log10_p").alias("value"))
-    )
-    values = stored(values, "values").select(F.col("kind").alias("_k"), F.col("key").alias("_key"), "value")
-    needed = counts.select("block", "kind", "key").join(values, (F.col("key") == F.col("_key")) & (F.col("kind") == F.col("_k"))).select(
-        "block", "kind", "key", "value"
+    values = stored(gram_scores(grams, depth), "values")
+    scored = counts.filter(f"kind = {GRAM}").select("block", "kind", "key").join(values, F.col("key") == F.col("gram"))
+    # a block knows by itself what occurs nowhere else; of words it gets only totals that differ from its own
+    needed = scored.select("block", "kind", "key", F.col("log10_p").alias("value")).union(
+        totals.filter(f"total <> n or kind = {LAST}").select("block", "kind", "key", F.col("total").cast("double"))
     )
 
     def score(texts: pa.Table, table: pa.Table) -> pa.Table:
@@ -344,7 +359,11 @@ def score_texts(docs: DataFrame, parts: int = 10, held: int = 0, depth: int = DE
         end = float(value[kind == LAST][0])
         room = train + 0.1 * (words + 1)
         raw = _texts(texts.column("text"))
-        at: dict[bytes, int] = {}
+        learned = texts.column("bucket").to_numpy() != held
+        local: Counter = Counter()
+        for text, use in zip(raw, learned):
+            if use:
+                local.update(text.split())
         out: list[np.ndarray] = []
         for a, b in spans_of([len(t) for t in raw], BYTES_AT_ONCE):
             split = [t.split() for t in raw[a:b]]
@@ -352,7 +371,8 @@ def score_texts(docs: DataFrame, parts: int = 10, held: int = 0, depth: int = DE
             flat = [w for s in split for w in s]
             at = {w: i for i, w in enumerate(dict.fromkeys(flat))}
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in at), np.uint64, len(at))
-            c = count(hashes)[np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))] if flat else np.zeros(0)
+            own = np.fromiter((local.get(w, 0) for w in at), float, len(at))
+            c = count(hashes, own)[np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))] if flat else np.zeros(0)
             owner = np.repeat(np.arange(b - a), size)
             base = np.bincount(owner, weights=np.log10((c + 0.1) / room), minlength=b - a) + np.log10((end + 0.1) / room)
             known = np.bincount(owner, weights=(c > 0).astype(float), minlength=b - a) + (end > 0)
