@@ -13,6 +13,7 @@ from wireloom.session import scratch_path
 # words end at ASCII white space only, as ``bytes.split()`` does in Python
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+CLEAN_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -56,11 +57,21 @@ class Guarded:
 def stored(df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
     """Write once as a scratch table in the shared folder and go on from there.
 
-    Later steps read single columns of it, and a lost executor costs no recomputation.
+    Later steps read single columns of it, and a lost executor costs no recomputation. Nothing
+    reads the write's shuffle files again, so they go as soon as it ends.
     """
-    path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, purpose)
+    before = spark.conf.get(CLEAN_SHUFFLE, None)
+    spark.conf.set(CLEAN_SHUFFLE, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLE)
+        else:
+            spark.conf.set(CLEAN_SHUFFLE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
