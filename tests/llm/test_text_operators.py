@@ -138,6 +138,14 @@ def test_lines(spark, docs, empty):
     assert line_edit_join.drop_copied_lines(docs).columns == docs.columns
 
 
+def test_repeated_rows_are_one_line(spark):
+    base = "it was a bright cold day in april and the clocks were striking thirteen"
+    rows = [(1, base)] * 3 + [(2, base.replace("bright", "brigt")), (3, base + "é")]
+    found = line_edit_join.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 5 and {r.class_doc_id for r in found} == {1}
+    assert sorted((r.doc_id, r.n_links, r.n_copies, r.kept) for r in found) == [(1, 2, 3, True)] * 3 + [(2, 2, 1, False), (3, 2, 1, False)]
+
+
 def test_fingerprints_and_components(spark, docs, empty):
     def plain(text):
         w = (text or "").encode().lower().split()
