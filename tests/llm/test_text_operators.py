@@ -146,6 +146,47 @@ def test_repeated_rows_are_one_line(spark):
     assert sorted((r.doc_id, r.n_links, r.n_copies, r.kept) for r in found) == [(1, 2, 3, True)] * 3 + [(2, 2, 1, False), (3, 2, 1, False)]
 
 
+def _within(a, b, most):
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):
+        now = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            steps = [row.get(j, most) + 1, now.get(j - 1, most) + 1]
+            now[j] = min(steps + [row.get(j - 1, most + 1) + (x != b[j - 1])] if j else steps)
+        row = now
+    return row.get(len(b), most + 1) <= most
+
+
+def test_edits_grow_with_line_length(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz éß漢"))
+    lines = []
+    for size in [*range(18, 70), 90, 116, 126, 128, 140, 250, 258, 300, 505, 520, 1030, 2500]:
+        line = "x" + "".join(rng.choice(letters, size - 2)) + "y"
+        most = max(2, size // 10)
+        at = int(rng.integers(2, size - most - 3))
+        lines += [line, line[:at] + "Q" * most + line[at + most:], line[:at] + line[at + most:], line[:at] + "Q" * (most + 4) + line[at + most + 4:]]
+        few = list(line)
+        for i in rng.choice(size - 2, 2 if size < 30 else 3, replace=False):
+            few[i + 1] = "Z"
+        lines.append("".join(few))
+        if size < 64:  # every pair of short lines is found, however the edits are spread
+            spread = list(line)
+            for i in rng.choice(size - 2, most, replace=False):
+                spread[i + 1] = "#"
+            lines.append("".join(spread))
+    found = line_edit_join.deduplicated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    links = {r.doc_id: r.n_links for r in found}
+    apart = {i: 0 for i in links}
+    for i, a in enumerate(lines):
+        for j in range(i):
+            n = max(len(a), len(lines[j]))
+            if i - j < 6 and _within(a, lines[j], max(2, n // 10)):
+                apart[i] += 1
+                apart[j] += 1
+    assert links == apart and sum(links.values()) > 500
+
+
 def test_fingerprints_and_components(spark, docs, empty):
     def plain(text):
         w = (text or "").encode().lower().split()
