@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wireloom.llm import context_tree, dom_marginals, fertility, gray_index, language_mixture, line_edit_join, piece_scan
+from wireloom.llm import context_tree, dom_marginals, fertility, gray_index, language_mixture, line_edit_join, piece_scan, queries
 from wireloom.llm.common import Guarded, pick
 
 EN = "the river runs past the old mill and the people there rowed to church when the water was high"
@@ -187,6 +187,17 @@ def test_edits_grow_with_line_length(spark):
     assert links == apart and sum(links.values()) > 500
 
 
+def test_short_lines_have_classes(spark, tmp_path):
+    texts = ["Yes.\n\r\nfirst of all, a text", "Yes.\n\r\n今天天气很好。", "今天天气很好。\nanother text goes here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.doc_id, r.line_no): r for r in queries.op3_line_edit_join(spark, str(tmp_path)).collect()}
+    assert {k for k, r in found.items() if r.kept} == {(0, 0), (0, 2), (1, 2), (2, 1)} and set(found) == {(0, 0), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)}
+    assert found[1, 0].class_doc_id == 0 and found[2, 0].class_doc_id == 1 and found[2, 0].n_copies == 2
+    left = {r.doc_id: r.text for r in line_edit_join.drop_copied_lines(df).collect()}
+    assert left == {0: texts[0], 1: "\r\n今天天气很好。", 2: "another text goes here"}
+
+
 def test_fingerprints_and_components(spark, docs, empty):
     def plain(text):
         w = (text or "").encode().lower().split()

@@ -36,7 +36,7 @@ def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_edit_join.deduplicated_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return line_edit_join.deduplicated_lines(table(spark, sf_dir, "documents", "doc_id", "text"), least_chars=1)
 
 
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
