@@ -198,6 +198,14 @@ def test_short_lines_have_classes(spark, tmp_path):
     assert left == {0: texts[0], 1: "\r\n今天天气很好。", 2: "another text goes here"}
 
 
+def test_own_lines_outlast_shared_ones(spark):
+    shared = [f"passage {i} that many pages of this hot source have in common, word for word {i * i}" for i in range(8)]
+    rows = [(i, "\n".join([*shared, f"own {'abcdef'[i] * 9}", ""])) for i in range(5)] + [(5, "\n".join(shared) + "\n")]
+    left = {r.doc_id: r.text for r in line_edit_join.drop_copied_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(left) == [0, 1, 2, 3, 4] and all(f"own {'abcdef'[i] * 9}" in left[i] for i in left)
+    assert [sum(s in t for t in left.values()) for s in shared[:1]] == [1]
+
+
 def test_fingerprints_and_components(spark, docs, empty):
     def plain(text):
         w = (text or "").encode().lower().split()
