@@ -279,6 +279,18 @@ def test_quality(docs, empty):
     assert fertility.quality_filter(docs).columns == docs.columns and fertility.quality_metrics(empty).count() == 0
 
 
+def test_small_groups_keep_their_own_bands(spark):
+    rng = np.random.default_rng(4)
+    rows = [("en", False, *map(float, rng.normal((4.3, 4.1, 0.8, 0.0), (0.1, 0.1, 0.01, 0)))) for _ in range(10_000)]
+    few = [("zh", False, *map(float, rng.normal((1.5, 1.2, 0.9, 0.3), (0.04, 0.03, 0.01, 0.002)))) for _ in range(20)]
+    names = ["chars_per_token", "byte_chars_per_token", "entropy_ratio", "fallback_share"]
+    measured = spark.createDataFrame(rows + few + [("zh", True, 9.0, 9.0, 9.0, 1.0)], ["band_group", "base_failed", *names])
+    bands = {r["_group"]: r for r in fertility.fertility_bands(measured).collect()}
+    fits = lambda row: all(-b["below"] <= v - b["mid"] <= b["above"] for v, b in zip(row[2:], [bands[row[0]][f"{n}_band"] for n in names]))
+    assert set(bands) == {"en", "zh"} and all(map(fits, rows + few))
+    assert not fits(("zh", False, 2.3, 1.2, 0.9, 0.3)) and not fits(("zh", False, 1.5, 2.0, 0.9, 0.3))
+
+
 def test_pieces_chunked_equal_whole(spark, docs, empty):
     whole = piece_scan.Vocabulary(piece_scan.PIECES)
     odd = docs.select("doc_id", "text").union(spark.createDataFrame([(20, "a▁b  c\n\n é漢😀 " * 30), (21, "theandof" * 90), (22, " " * 200)], "doc_id long, text string"))

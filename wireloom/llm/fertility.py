@@ -17,8 +17,8 @@ RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SPACE = " \t\n\x0b\x0c\r"
 # words whose tokens a Python worker remembers; beyond it the memory starts anew
 REMEMBERED = 400_000
-# a language or script with fewer usable documents takes the bands of all documents
-LEAST_DOCS = 50
+# at so many usable documents a language or script counts its own band widths and those of all groups alike
+STEADY_DOCS = 50
 # how many half-widths (median to a quartile) a measure may lie off its median
 REACH = 8.0
 # a band is at least this share of the median wide on each side
@@ -187,28 +187,33 @@ MEASURES = ("chars_per_token", "byte_chars_per_token", "entropy_ratio", "fallbac
 
 
 def fertility_bands(measured: DataFrame) -> DataFrame:
-    """Per language or script, and for all together, the accepted range of each measure.
+    """Per language or script the accepted range of each measure, around its own median. One row per group.
 
-    Taken from all documents that pass the base rules: the median and the distance to its
-    quartiles, stretched by REACH, at least LEAST_WIDTH of the median. One row per group.
+    Taken from all documents that pass the base rules: the distance of the median to its
+    quartiles, shrunk by the root of the group's size towards what such distances are in all
+    groups on average (as shares of their medians), stretched by REACH, at least LEAST_WIDTH of the median.
     """
     usable = measured.filter("not base_failed")
     quartiles = "percentile_approx({0}, array(0.25, 0.5, 0.75), 1000)"
-    every = usable.agg(*[F.expr(quartiles.format(m)).alias(f"all_{m}") for m in MEASURES])
     per = usable.groupBy("band_group").agg(
         F.count(F.lit(1)).alias("docs"), *[F.expr(quartiles.format(m)).alias(m) for m in MEASURES]
     )
+    spread = {}
+    for m in MEASURES:
+        low, mid, high = (F.element_at(m, i) for i in (1, 2, 3))
+        scale = F.lit(1.0) if m == "fallback_share" else mid
+        spread |= {f"{m}_scale": scale, f"{m}_below": (mid - low) / scale, f"{m}_above": (high - mid) / scale}
+    per = per.withColumns(spread)
+    sides = [f"{m}_{side}" for m in MEASURES for side in ("below", "above")]
+    usual = per.agg(*[(F.sum(F.col(s) * F.col("docs")) / F.sum("docs")).alias(f"usual_{s}") for s in sides])
+    own = F.sqrt("docs") / (F.sqrt("docs") + STEADY_DOCS**0.5)
     out = [F.col("band_group").alias("_group")]
     for m in MEASURES:
-        q = F.when(F.col("docs") >= LEAST_DOCS, F.col(m)).otherwise(F.col(f"all_{m}"))
-        low, mid, high = (F.element_at(q, i) for i in (1, 2, 3))
+        mid, scale = F.element_at(m, 2), F.col(f"{m}_scale")
         least = F.lit(0.02) if m == "fallback_share" else mid * LEAST_WIDTH
-        out.append(F.struct(
-            mid.alias("mid"),
-            F.greatest(REACH * (mid - low), least).alias("below"),
-            F.greatest(REACH * (high - mid), least).alias("above"),
-        ).alias(f"{m}_band"))
-    return per.join(F.broadcast(every)).select(*out)  # the broadcast is one row
+        width = lambda s: F.greatest(REACH * scale * (own * F.col(s) + (1 - own) * F.col(f"usual_{s}")), least)
+        out.append(F.struct(mid.alias("mid"), width(f"{m}_below").alias("below"), width(f"{m}_above").alias("above")).alias(f"{m}_band"))
+    return per.join(F.broadcast(usual)).select(*out)  # the broadcast is one row
 
 
 def _judged(docs: DataFrame, pieces: str, ranks: str) -> DataFrame:
