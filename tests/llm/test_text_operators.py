@@ -265,6 +265,18 @@ def test_pages(spark):
     assert [(r.page_id, r.n_chars > 0) for r in dom_marginals.extract_text(df, model).orderBy("page_id").collect()] == [(1, True), (2, False)]
 
 
+def test_unclosed_silent_elements():
+    read = lambda page: " ".join(dom_marginals.parse(page).runs.values())
+    assert read("<head><title>t</title><meta charset=x><article><p>one</p></article><p>two") == "one two"
+    assert read("<head><title>t</title> text <p>more") == "text more"
+    assert read("<head><noscript><p>no</p></noscript><title>t</title></head><p>one") == "one"
+    for tag in ("button", "select", "svg", "object", "noscript"):
+        page = f"<body><div><nav><{tag}><p>menu</p></nav><p>one</p></div><p>two</p>"
+        assert read(page).endswith("one two")
+        assert read(page + f"<{tag}>off</{tag}>") == "one two"
+        assert read(f"<div>a<{tag}><div><p>b</div></{tag}>c</div>") == "a c"
+
+
 def test_quality(docs, empty):
     tokens = fertility.WordTokens(fertility.PIECES, fertility.RANKS)
     for text in [EN, EN * 3, (EN + " ") * 3, "a b a b a b a b a b a b", "", "* # x"]:

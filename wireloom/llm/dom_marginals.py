@@ -24,6 +24,8 @@ ADDED = [("text", "string"), ("n_chars", "bigint")]
 
 # never text of a page, whatever surrounds them
 SILENT = frozenset("script style noscript template head title iframe object embed svg math canvas select textarea button audio video map datalist noembed noframes xmp".split())
+# all that may stand in a head; any other start tag, or text, ends it
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript template noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
@@ -92,6 +94,13 @@ def parse(page: str, labelled: bool = False) -> Tree:
     text: list[str] = []
     links = in_link = silent = 0
     quiet: list[str] = []
+    within: list[str] = []  # blocks opened inside silent elements
+    ends_at: dict[str, int] = {}
+
+    def last_end(tag: str) -> int:
+        if tag not in ends_at:
+            ends_at[tag] = max((m.start() for m in re.finditer(f"</{tag}", page, re.IGNORECASE)), default=-1)
+        return ends_at[tag]
 
     def flush() -> None:
         nonlocal links
@@ -113,6 +122,8 @@ def parse(page: str, labelled: bool = False) -> Tree:
 
     at = 0
     for m in TOKEN.finditer(page):
+        if quiet == ["head"] and page[at : m.start()].strip():
+            quiet, silent = [], 0
         if m.start() > at and not silent:
             part = page[at : m.start()]
             text.append(part)
@@ -122,19 +133,29 @@ def parse(page: str, labelled: bool = False) -> Tree:
         if m["tag"] is None:
             continue
         tag, ends = m["tag"].lower(), bool(m["end"])
+        if quiet == ["head"] and not ends and tag not in IN_HEAD:
+            quiet, silent = [], 0
+        if silent and ends and tag not in SILENT:
+            if tag in within:
+                del within[len(within) - 1 - within[::-1].index(tag):]
+            elif any(tree.tag[k] == tag for k in stack[1:]):  # the block around the silent element ends, and it with it
+                quiet, silent = [], 0
         if tag in SILENT:
             if ends:
                 if tag in quiet:
                     del quiet[quiet.index(tag):]
-            elif tag not in VOID and not m["attrs"].endswith("/"):
+            elif tag not in VOID and not m["attrs"].endswith("/") and (tag == "head" or last_end(tag) >= at):
                 flush()
                 quiet.append(tag)
             silent = len(quiet)
+            if not silent:
+                within.clear()
             continue
-        if silent and tag == "body" and quiet == ["head"]:
-            quiet, silent = [], 0
         if silent:
+            if not ends and tag not in VOID and tag not in INLINE and not m["attrs"].endswith("/"):
+                within.append(tag)
             continue
+        within.clear()
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if ends else 1
@@ -161,7 +182,7 @@ def parse(page: str, labelled: bool = False) -> Tree:
         stack.append(tree.add(stack[-1], tag, cues_of(m["attrs"])))
         if labelled and (label := LABEL.search(m["attrs"])):
             tree.given[stack[-1]] = label[1]
-    if not silent and at < len(page):
+    if at < len(page) and (not silent or quiet == ["head"]):
         text.append(page[at:])
     flush()
     return tree
