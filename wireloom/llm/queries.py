@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     context_tree, divergence_audit, dom_marginals, fertility, filter_audit, gray_index, language_mixture, line_edit_join, list_intervals, piece_scan,
-    pivot_search, weighted_mix,
+    pivot_search, setsketch, weighted_mix,
 )
 from .common import table
 
@@ -94,6 +94,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
+def op12_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.audit_sources(table(spark, sf_dir, "documents", "lang", "source", "text"))
 
@@ -103,6 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_mixture, op2_context_tree, op3_line_edit_join, op4_simhash_components, op5_dom_marginals, op6_list_intervals, op7_pivot_search,
         op8_tokeniser_fertility, op9_piece_scan, op10_mix_sources, op11_filter_audit,
-        op13_source_divergence,
+        op12_setsketch_near_dedup, op13_source_divergence,
     )
 }
