@@ -48,7 +48,10 @@ def copied_rows(rows: DataFrame) -> DataFrame:
     # stored, so that the engine knows its size when it decides how to join
     again = stored(ids.filter("_a < _z").select("_h"), "repeated-hashes")
     met = stored(hashed.join(again, "_h", "left_semi"), "repeated-texts")
-    first = met.groupBy(F.col("_h").alias("_fh"), F.col("text").alias("_ft")).agg(F.min("doc_id").alias("_first"))
+    # stored as well: an aggregate right below the join would keep the engine from splitting a hot text's rows
+    first = stored(
+        met.groupBy(F.col("_h").alias("_fh"), F.col("text").alias("_ft")).agg(F.min("doc_id").alias("_first")), "first-ids"
+    )
     same = (F.col("_h") == F.col("_fh")) & (F.col("text") == F.col("_ft")) & (F.col("_first") < F.col("doc_id"))
     return met.join(first, same, "left_semi").drop("_h")
 
