@@ -536,6 +536,7 @@ add("apply_status_changes", f"""{PIPELINE}, ch AS (
     FROM events, (VALUES (0), (1)) v(d) WHERE event_type IN ('click', 'view') AND user_id % 5 <> 0),
   last AS (SELECT organization_id, id, new_status FROM (SELECT *, row_number() OVER (PARTITION BY organization_id, id ORDER BY ts DESC) AS rn FROM ch) WHERE rn = 1)
   SELECT i.id, i.organization_id, coalesce(new_status, status) AS status FROM incidents i LEFT JOIN last USING (organization_id, id)""")
+ORACLE_SQL["stored_status_changes"] = ORACLE_SQL["apply_status_changes"]
 add("purge_tenant", f"{PIPELINE} SELECT id, organization_id, alert_type FROM incidents WHERE organization_id <> 2")
 _DOUBLE = "═" * 70
 _RULE = "─" * 70
@@ -588,3 +589,6 @@ add("stream_detect", f"""{SIMPLE}, {EVE}, live AS (SELECT * REPLACE (shown AS al
   judged AS (SELECT *, {risk('hint')} AS risk_level FROM live)
   SELECT source_ip, destination_ip, domain, timestamp, alert_type, risk_level, {STATUS} AS status FROM judged
   WHERE risk_level <> 'Low' OR domain <> ''""")
+ORACLE_SQL["stream_grow"] = ORACLE_SQL["stream_tail"]
+add("stream_dedup", f"{SIMPLE} SELECT DISTINCT source_ip, destination_ip, timestamp, alert_type FROM flows WHERE source_ip <> ''")
+ORACLE_SQL["stream_timeline"] = ORACLE_SQL["risk_timeline"]

@@ -134,14 +134,10 @@ def test_split_file_keeps_order_and_profile(spark, tmp_path):
     text = ["", "  "] + ["timestamp,source_ip,destination_ip,domain,alert_type"] + rows[:1500] + [""] + rows[1500:] + ["", ""]
     (tmp_path / "big.csv").write_text("\n".join(text) + "\n")
     (tmp_path / "small.log").write_text("t,1.1.1.1,2.2.2.2,x.com,scan\n")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
-        scanned = lines.scan_log_lines(spark, str(tmp_path), organization_id=7)
-        assert scanned.select("block").distinct().count() > 5
-        profile = {r.batch_id.rsplit("/", 1)[1]: r.n_lines for r in router.file_profile(scanned).collect()}
-        got = router.read_events(scanned).orderBy("batch_id", "seq").collect()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    scanned = lines.scan_log_lines(spark, str(tmp_path), organization_id=7, split_bytes=20_000)
+    assert scanned.select("block").distinct().count() > 5
+    profile = {r.batch_id.rsplit("/", 1)[1]: r.n_lines for r in router.file_profile(scanned).collect()}
+    got = router.read_events(scanned).orderBy("batch_id", "seq").collect()
     assert profile == {"big.csv": 3002, "small.log": 1}
     big = [r for r in got if r.batch_id.endswith("big.csv")]
     assert [r.seq for r in big] == list(range(3000))

@@ -60,7 +60,7 @@ def test_repeated_batch_adds_nothing(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text("\n".join(eve(8)))
     table = IncidentTable(spark, f"{tmp_path}/table")
     run_batch = live.process_batch(table, f"{tmp_path}/feed")
-    raw = lines.scan_log_lines(spark, f"{tmp_path}/in", 3).drop("line_id")
+    raw = live.tail_events(lines.scan_log_lines(spark, f"{tmp_path}/in", 3))
     for _ in range(2):
         run_batch(raw, 7)
     assert table.read().count() == 8
@@ -108,16 +108,63 @@ def test_epoch_stamps_and_null_tenants_are_stored_once(spark, tmp_path):
     assert table.read().select("event_day").distinct().count() == 1
 
 
-def test_status_changes_reach_the_stored_table(spark, tmp_path):
-    rows = [{"id": i, "organization_id": i % 3, "timestamp": f"2026-03-2{i % 4}T00:00:00", "status": "Active"} for i in range(24)]
+def test_half_written_epoch_is_replaced(spark, tmp_path):
+    """An append that broke off half-way and is repeated loses no row, doubles none and announces all."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(eve(20)))
+    (tmp_path / "in" / "b.json").write_text("\n".join(eve(4, 18)))
+    table = IncidentTable(spark, f"{tmp_path}/table")
+    parsed = live.tail_events(lines.scan_log_lines(spark, f"{tmp_path}/in/a.json", 3))
+    run_batch = live.process_batch(table, f"{tmp_path}/feed", stream="s")
+    run_batch(parsed, 7)
+    whole = sorted(map(str, table.read().collect()))
+    half = table.rows().limit(9).drop("event_day", "epoch").collect()
+    table.write_epoch(spark.createDataFrame(half, table.rows().drop("event_day", "epoch").schema), "s-7")
+    assert table.read().count() == 9
+    for _ in range(2):
+        run_batch(parsed, 7)
+        assert sorted(map(str, table.read().collect())) == whole and len(whole) == 20
+    # an earlier epoch still hides what it has stored
+    run_batch(live.tail_events(lines.scan_log_lines(spark, f"{tmp_path}/in/b.json", 3)), 8)
+    assert table.read().count() == 22
+    feed = spark.read.json(f"{tmp_path}/feed")
+    assert feed.count() == 22 and feed.select("incident_id").distinct().count() == 22
+
+
+def test_status_changes_are_merged_on_read(spark, tmp_path):
+    rows = [{"id": i, "organization_id": i % 3 if i < 23 else None, "timestamp": f"2026-03-2{i % 4}T00:00:00", "status": "Active"} for i in range(24)]
     table = IncidentTable(spark, f"{tmp_path}/table")
     table.append(_incident(spark, rows))
-    changes = spark.createDataFrame([(3, "Resolved", "a"), (4, "Blocked", "a"), (999, "Blocked", "a")], "id long, status string, actor string")
-    feed = table.set_status(changes)
-    assert {r.incident_id for r in feed.collect()} == {3, 4}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    schema = "organization_id long, incident_id long, action string, role string, changed_at string"
+    change = lambda *r: table.change_status(spark.createDataFrame(list(r), schema), f"{tmp_path}/feed").collect()
+    t = "2026-03-25T00:00:0{}".format
+    feed = change(
+        (0, 3, "approve", "ADMIN", t(1)), (0, 3, "reject", "ANALYST", t(2)),  # twice the same incident: the later one
+        (1, 4, "reject", "ANALYST", t(2)), (1, 4, "approve", "ANALYST", t(1)),
+        (2, 5, "approve", "VIEWER", t(1)),  # a viewer
+        (1, 6, "approve", "ADMIN", t(1)),  # another tenant's incident
+        (0, 999, "approve", "ADMIN", t(1)), (0, 9, "delete", "ADMIN", t(1)), (None, 23, "approve", "ADMIN", t(1)),
+    )
+    assert {(r.incident_id, json.loads(r.payload)["status"]) for r in feed} == {(3, "Rejected"), (4, "Rejected")}
+    states = {r.id: r.status for r in table.read().collect()}
+    assert table.read().count() == 24
+    assert {i: s for i, s in states.items() if s != "Active"} == {3: "Rejected", 4: "Rejected"}
+    # a later call wins over an earlier one, an older request does not
+    change((0, 3, "approve", "ADMIN", t(5)), (1, 4, "approve", "ADMIN", t(0)))
     states = {r.id: r.status for r in table.read().collect()}
-    assert len(states) == 24 and states[3] == "Resolved" and states[4] == "Blocked"
-    assert sum(s == "Active" for s in states.values()) == 22
+    assert (states[3], states[4]) == ("Approved", "Rejected")
+    # no incident was rewritten, so a stream may append meanwhile
+    assert all(p.stat().st_mtime_ns == m for p, m in before.items())
+    table.append(_incident(spark, [{"id": 100, "organization_id": 0, "timestamp": "2026-03-20", "status": "Active"}]))
+    state = sorted(map(str, table.read().collect()))
+    table.compact()
+    assert sorted(map(str, table.read().collect())) == state and table.status_changes() is None
+    assert table.rows().select("epoch").distinct().count() == 1
+    change((0, 0, "approve", "ADMIN", t(7)))
+    assert {r.id: r.status for r in table.read().collect()}[0] == "Approved"
+    assert table.purge(0, "ADMIN") == 9
+    assert table.read().count() == 16 and not (tmp_path / "table" / "_status" / "organization_id=0").exists()
 
 
 def test_ids_do_not_overflow_at_late_epochs(spark, tmp_path):
@@ -125,7 +172,7 @@ def test_ids_do_not_overflow_at_late_epochs(spark, tmp_path):
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("\n".join(eve(3)))
-    raw = lines.scan_log_lines(spark, f"{tmp_path}/in", 1).drop("line_id")
+    raw = live.tail_events(lines.scan_log_lines(spark, f"{tmp_path}/in", 1))
     table = IncidentTable(spark, f"{tmp_path}/table")
     process_batch(table)(raw, 1 << 24)
     assert table.read().agg({"id": "min"}).first()[0] >= 1 << 56

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,18 +49,17 @@ def mitre_heatmap(incidents: DataFrame) -> DataFrame:
     return filled.withColumn("intensity", F.col("incidents") / peak)
 
 
-def risk_timeline(incidents: DataFrame, days: int = 10) -> DataFrame:
-    """High, medium and low incidents of the last ``days`` days, with shares for drawing.
-
-    Days are the leading ten characters of the time stamp; incidents without one count under
-    "Unknown", which sorts last. Anything that is neither high nor medium counts as low.
-    """
+def risk_counts() -> list[Column]:
+    """High, medium and low; anything that is neither high nor medium counts as low."""
     risk = F.lower(F.coalesce("risk_level", F.lit("")))
-    per_day = incidents.groupBy(text_day(F.col("timestamp")).alias("day")).agg(
-        F.count_if(risk == "high").alias("high"),
-        F.count_if(risk == "medium").alias("medium"),
+    return [
+        F.count_if(risk == "high").alias("high"), F.count_if(risk == "medium").alias("medium"),
         F.count_if(~risk.isin("high", "medium")).alias("low"),
-    )
+    ]
+
+
+def timeline_shares(per_day: DataFrame, days: int = 10) -> DataFrame:
+    """The last ``days`` rows of (day, high, medium, low) with shares for drawing."""
     recent = per_day.orderBy(F.desc("day")).limit(days).withColumn("total", F.expr("high + medium + low"))
     peak = F.greatest(F.max("total").over(W.partitionBy()), F.lit(1))
     share = lambda c: F.col(c) / F.greatest("total", F.lit(1)) * 100
@@ -71,6 +70,16 @@ def risk_timeline(incidents: DataFrame, days: int = 10) -> DataFrame:
     ).orderBy("day")
 
 
+def risk_timeline(incidents: DataFrame, days: int = 10) -> DataFrame:
+    """High, medium and low incidents of the last ``days`` days, with shares for drawing.
+
+    Days are the leading ten characters of the time stamp; incidents without one count under
+    "Unknown", which sorts last.
+    """
+    per_day = incidents.groupBy(text_day(F.col("timestamp")).alias("day")).agg(*risk_counts())
+    return timeline_shares(per_day, days)
+
+
 def metric_rollup(samples: DataFrame) -> DataFrame:
     """Counters summed, gauges at their last value, timers as count, average, minimum, maximum.
 

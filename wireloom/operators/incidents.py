@@ -148,20 +148,35 @@ def search_incidents(incidents: DataFrame, text: str) -> DataFrame:
     )
 
 
+def allowed_changes(changes: DataFrame) -> DataFrame:
+    """Approve and reject requests that may be carried out, with the ``status`` each asks for.
+
+    ``changes``: ``organization_id, incident_id, action, role, changed_at``. Viewers may not change
+    anything.
+    """
+    allowed = changes.filter((F.col("role") != "VIEWER") & F.col("action").isin("approve", "reject"))
+    return allowed.withColumn("status", F.when(F.col("action") == "approve", "Approved").otherwise("Rejected"))
+
+
+def latest_status(changes: DataFrame) -> DataFrame:
+    """The latest ``status`` of each incident; of requests at the same time a rejection counts."""
+    return changes.groupBy("organization_id", "incident_id").agg(F.max_by("status", F.struct("changed_at", "status")).alias("status"))
+
+
+def with_latest_status(incidents: DataFrame, changes: DataFrame) -> DataFrame:
+    """Incidents in the state that their own tenant's latest change gave them."""
+    latest = latest_status(changes).select("organization_id", F.col("incident_id").alias("id"), F.col("status").alias("_status"))
+    joined = key_lookup(incidents, latest, ["organization_id", "id"])
+    return joined.withColumn("status", F.coalesce("_status", "status")).select(*incidents.columns)
+
+
 def apply_status_changes(incidents: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply approve and reject requests: ``organization_id, incident_id, action, role, changed_at``.
 
     Viewers may not change anything and a request reaches its own tenant only. Of several
     requests for one incident the latest counts.
     """
-    allowed = changes.filter((F.col("role") != "VIEWER") & F.col("action").isin("approve", "reject"))
-    new_status = F.when(F.col("action") == "approve", "Approved").otherwise("Rejected")
-    latest = allowed.groupBy("organization_id", "incident_id").agg(
-        F.max_by(new_status, F.struct("changed_at", "action")).alias("_status")
-    )
-    latest = latest.withColumnRenamed("incident_id", "id")
-    joined = incidents.join(latest, ["organization_id", "id"], "left")
-    return joined.withColumn("status", F.coalesce("_status", "status")).select(*incidents.columns)
+    return with_latest_status(incidents, allowed_changes(changes))
 
 
 def purge_tenant(incidents: DataFrame, organization_id: int, role: str) -> DataFrame:

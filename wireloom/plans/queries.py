@@ -34,7 +34,7 @@ from wireloom.schemas import INCIDENT_COLUMNS, PARSED_COLUMNS, PREDICTION_COLUMN
 from wireloom.session import materialize, scratch_path
 from wireloom.sources import flows as fl
 from wireloom.sources import json_lines, lines, router, sinks
-from wireloom.streaming import live
+from wireloom.streaming import live, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -496,19 +496,22 @@ def latest_incidents(spark: SparkSession, sf: str) -> DataFrame:
     return incidents.latest_incidents(_incidents(spark, sf), 50).select("id", "alert_type", "risk_level")
 
 
-@query
-def apply_status_changes(spark: SparkSession, sf: str) -> DataFrame:
+def _status_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Requests come from events: each event asks about its own and the next incident."""
     f = spark.read.parquet(f"{sf}/events.parquet")
     asked = F.explode(F.array(F.col("event_id"), F.col("event_id") + 1))
-    changes = f.select(
+    return f.select(
         (F.col("user_id") % 3).cast("long").alias("organization_id"), asked.alias("incident_id"),
         F.when(F.col("event_type") == "click", "approve").when(F.col("event_type") == "view", "reject").otherwise(
             "none").alias("action"),
         F.when(F.col("user_id") % 5 == 0, "VIEWER").otherwise("ANALYST").alias("role"),
         F.col("ts").alias("changed_at"),
     )
-    changed = incidents.apply_status_changes(_incidents(spark, sf), changes)
+
+
+@query
+def apply_status_changes(spark: SparkSession, sf: str) -> DataFrame:
+    changed = incidents.apply_status_changes(_incidents(spark, sf), _status_requests(spark, sf))
     return changed.select("id", "organization_id", "status")
 
 
@@ -576,6 +579,66 @@ def stream_detect(spark: SparkSession, sf: str) -> DataFrame:
     return table.select("source_ip", "destination_ip", "domain", "timestamp", "alert_type", "risk_level", "status")
 
 
+@query
+def stream_grow(spark: SparkSession, sf: str) -> DataFrame:
+    """The log is tailed while it grows: half of it is there at first, the rest is added before a second run."""
+    folder, out, cp = scratch_path(spark, "grow"), scratch_path(spark, "tail"), scratch_path(spark, "tail-cp")
+    text = fl.render_eve(fl.flows(spark, sf))
+    late = F.pmod(F.xxhash64("line_id"), F.lit(2)) == 1
+    for part in (~late, late):
+        text.filter(part).select("value").write.mode("append").text(folder)
+        live.tail_to_table(spark, folder, out, cp, growing=True).awaitTermination()
+    return spark.read.parquet(out).select(
+        "timestamp", "source_ip", "destination_ip", "domain", "alert_type", "event_type", "risk_level"
+    )
+
+
+# longer than the events span, so that no order of files makes one late
+STREAM_DELAY = "60 days"
+
+
+def _generic_folder(spark: SparkSession, sf: str, copies: int) -> str:
+    folder = scratch_path(spark, "logs")
+    for _ in range(copies):
+        fl.render_generic_json(fl.flows(spark, sf)).select("value").write.mode("append").text(folder)
+    return folder
+
+
+@query
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line is there twice, in different files."""
+    out = scratch_path(spark, "dedup")
+    events = json_lines.normalize_generic_json(live.tail(spark, _generic_folder(spark, sf, 2), max_files=5))
+    unique = windows.first_of_key(events, STREAM_DELAY).select(*incidents.INCIDENT_KEY)
+    windows.append_to(unique, f"{out}/events", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/events").drop("organization_id")
+
+
+@query
+def stream_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Days are closed by a last line far ahead, read by a second run that resumes the first."""
+    folder, out = _generic_folder(spark, sf, 1), scratch_path(spark, "days")
+    last = spark.read.parquet(f"{sf}/events.parquet").agg(F.max("ts")).first()[0] or dt.datetime(2024, 1, 1)
+    for end in (None, last + dt.timedelta(days=62)):
+        if end:
+            windows.mark_end(spark, folder, end)
+        days = windows.daily_counts(json_lines.normalize_generic_json(live.tail(spark, folder, max_files=4)), STREAM_DELAY)
+        windows.append_to(days, f"{out}/days", f"{out}/checkpoint").awaitTermination()
+    rounded = [F.round(c, 6).alias(c) for c in ("height_pct", "high_pct", "medium_pct", "low_pct")]
+    return windows.closed_timeline(spark, f"{out}/days").select("day", "high", "medium", "low", "total", *rounded)
+
+
+@query
+def stored_status_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests of ``apply_status_changes``, recorded in two parts on a stored table and read back merged."""
+    table = sinks.IncidentTable(spark, scratch_path(spark, "incidents"))
+    table.append(_incidents(spark, sf))
+    changes = _status_requests(spark, sf)
+    for part in (0, 1):
+        table.change_status(changes.filter(F.pmod(F.xxhash64("incident_id", "changed_at"), F.lit(2)) == part))
+    return table.read().select("id", "organization_id", "status")
+
+
 # --- models -----------------------------------------------------------------------------------
 _TRAINED: dict[tuple[str, str], tuple[Ensemble, DataFrame]] = {}
 

@@ -216,15 +216,25 @@ def with_dialect(lines: DataFrame) -> DataFrame:
     return with_fields(lines).withColumn("dialect", json_dialect())
 
 
-def parse_json(lines: DataFrame) -> DataFrame:
-    """All dialects in one projection; lines that give no event are dropped."""
+def _merged_columns() -> dict[str, Column]:
     by_dialect = {"eve": eve_columns(), "zeek": zeek_json_columns(), "generic": generic_json_columns()}
-    merged = {
+    return {
         c: choose((F.col("dialect") == F.lit(d), columns[c]) for d, columns in by_dialect.items())
         for c in PARSED_COLUMNS
     }
-    events = with_dialect(lines).filter(F.col("dialect").isNotNull()).select(*keep_order(merged))
-    return events.filter(valid_endpoints(F.col("source_ip"), F.col("destination_ip")))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Events of lines that have their dialect. The fields are computed once per line: rules applied
+    to them later would otherwise each hold the whole expression of the field."""
+    event = F.struct(*[c.alias(name) for name, c in _merged_columns().items()])
+    found = computed_once(lines, "_e", event).select(*FILE_KEYS, *ORDER, *[F.col(f"_e.{c}").alias(c) for c in PARSED_COLUMNS])
+    return found.filter(valid_endpoints(F.col("source_ip"), F.col("destination_ip")))
+
+
+def parse_json(lines: DataFrame) -> DataFrame:
+    """All dialects in one projection; lines that give no event are dropped."""
+    return _parsed(with_dialect(lines).filter(F.col("dialect").isNotNull()))
 
 
 def with_json_outcome(lines: DataFrame) -> DataFrame:
@@ -257,3 +267,8 @@ def is_relevant() -> Column:
 def relevant_lines(lines: DataFrame) -> DataFrame:
     """Object lines that pass the live filter; malformed ones are skipped."""
     return with_fields(lines).filter("_j.is_object").filter(is_relevant()).select(*lines.columns)
+
+
+def parse_relevant(lines: DataFrame) -> DataFrame:
+    """Events of the object lines that pass the live filter, each line decoded once."""
+    return _parsed(with_dialect(lines).filter("_j.is_object").filter(is_relevant()))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wireloom.functions.text import strip
 from wireloom.operators.ordering import distributed_row_number
 from wireloom.schemas import EVENT_SCHEMA, PARSED_COLUMNS
+from wireloom.sources.growing import SPLIT_BYTES, growing_reader
 
 FILE_KEYS = ["organization_id", "batch_id"]
 ORDER = ["block", "line_id"]
@@ -19,13 +20,30 @@ LINE_COLUMNS = [*FILE_KEYS, *ORDER, "value"]
 
 
 def scan_log_lines(
-    spark: SparkSession, paths: str | list[str], organization_id: int = 0, recursive: bool = False
+    spark: SparkSession, paths: str | list[str], organization_id: int = 0, recursive: bool = False, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
     """Read UTF-8 log files as lines.
 
-    Large files are split: ``block`` is the byte offset of the split and ``line_id`` grows along
-    it, so (block, line_id) orders a file without a shuffle. Line ids count up by one within a
-    split.
+    Large files are split: ``block`` is the first byte of the range that a task reads and
+    ``line_id`` counts the lines that begin in it, so (block, line_id) orders a file without a
+    shuffle. Ranges are cut at multiples of ``split_bytes``, not by the session's settings or the
+    cores at hand, so a line has the same place in every pass over it.
+    """
+    reader = growing_reader(spark, paths, recursive, False, splitBytes=str(split_bytes))
+    return label_ranges(reader.load(), organization_id)
+
+
+def label_ranges(ranges: DataFrame, organization_id: int = 0) -> DataFrame:
+    """Attach the tenant to lines read by byte ranges."""
+    tenant = F.lit(organization_id).cast("long").alias("organization_id")
+    return ranges.select(tenant, F.col("path").alias("batch_id"), "block", "line_id", "value")
+
+
+def scan_text(spark: SparkSession, paths: str | list[str], organization_id: int = 0, recursive: bool = False) -> DataFrame:
+    """Lines by the engine's own text scan, for stores that only it can open.
+
+    Here ``block`` is the byte offset of the engine's split, which follows the session's settings:
+    name the format, so that one pass suffices.
     """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     return label_lines(reader.text(paths), organization_id)

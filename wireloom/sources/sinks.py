@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.functions.times import partition_day
-from wireloom.operators.incidents import dedup_incidents
+from wireloom.operators.incidents import allowed_changes, dedup_incidents, latest_status, with_latest_status
 from wireloom.schemas import INCIDENT_COLUMNS, INCIDENT_SCHEMA
 from wireloom.session import materialize
 
 # tenant first: every read names one; the day is that of the instant, whatever form its stamp has
 PARTITIONS = ["organization_id", "event_day"]
+STATUS_SCHEMA = "incident_id long, status string, role string, changed_at timestamp, organization_id long"
 
 
 def alert_feed(incidents: DataFrame) -> DataFrame:
@@ -33,30 +36,62 @@ def write_feed(feed: DataFrame, path: str) -> None:
 
 
 class IncidentTable:
-    """Parquet table of incidents, partitioned by tenant and day of the incident."""
+    """Parquet table of incidents: a folder per epoch, in it a partition per tenant and day.
+
+    An epoch is one write as a whole - a micro-batch of a stream or one batch job - and writing it
+    again replaces it. Approvals and rejections are rows of their own below ``_status``; the
+    latest one of each incident is merged in on read, so no incident is rewritten under a stream.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
 
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _there(self, path: str) -> bool:
+        folder, system = self._folder(path)
+        return system.exists(folder)
+
+    def _delete(self, pattern: str) -> None:
+        folder, system = self._folder(pattern)
+        for found in system.globStatus(folder) or []:
+            system.delete(found.getPath(), True)
+
     def exists(self) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        return self._there(self.path)
 
-    def read(self) -> DataFrame:
-        """All incidents; an empty frame before the first write."""
+    def has_epoch(self, epoch: str) -> bool:
+        return self._there(f"{self.path}/epoch={epoch}")
+
+    def rows(self) -> DataFrame:
+        """Incidents as they were written, with the epoch that wrote them."""
+        columns = [*INCIDENT_COLUMNS, "event_day", "epoch"]
         if not self.exists():
-            return self.spark.createDataFrame([], INCIDENT_SCHEMA).withColumn("event_day", F.lit("").cast("string"))
-        schema = "event_day string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INCIDENT_SCHEMA)
-        return self.spark.read.schema(schema).parquet(self.path).select(*INCIDENT_COLUMNS, "event_day")
+            empty = self.spark.createDataFrame([], INCIDENT_SCHEMA)
+            return empty.withColumns({"event_day": F.lit("").cast("string"), "epoch": F.lit("").cast("string")})
+        schema = "event_day string, epoch string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INCIDENT_SCHEMA)
+        return self.spark.read.schema(schema).parquet(self.path).select(*columns)
+
+    def status_changes(self) -> DataFrame | None:
+        """All accepted changes; none before the first one."""
+        path = f"{self.path}/_status"
+        return self.spark.read.schema(STATUS_SCHEMA).parquet(path) if self._there(path) else None
+
+    def read(self) -> DataFrame:
+        """All incidents in their present state; an empty frame before the first write."""
+        stored, changes = self.rows().drop("epoch"), self.status_changes()
+        return stored if changes is None else with_latest_status(stored, changes)
 
-    def stored_for(self, incoming: DataFrame) -> DataFrame:
-        """Stored incidents that could equal one of ``incoming``.
+    def stored_for(self, incoming: DataFrame, epoch: str | None = None) -> DataFrame:
+        """Stored incidents of other epochs that could equal one of ``incoming``.
 
         Equal incidents share tenant and day. Only partitions between the first and the last day of
         the batch are read, and of these the rows whose tenant and day occur in it, null included.
         """
-        stored = self.read()
+        stored = self.rows().filter(F.col("epoch") != F.lit(epoch)) if epoch else self.rows()
         cells = incoming.select(
             F.col("organization_id").alias("_tenant"), partition_day(F.col("timestamp")).alias("_day")
         ).distinct()
@@ -66,9 +101,12 @@ class IncidentTable:
         same = stored["organization_id"].eqNullSafe(cells["_tenant"]) & (stored["event_day"] == cells["_day"])
         return stored.filter(F.col("event_day").between(first, last)).join(cells, same, "left_semi")
 
-    def new_incidents(self, incoming: DataFrame, within_batch: bool = False) -> DataFrame:
-        """The incoming incidents that are not stored yet, as of now."""
-        return dedup_incidents(incoming, self.stored_for(incoming), within_batch=within_batch, order="id")
+    def new_incidents(self, incoming: DataFrame, within_batch: bool = False, epoch: str | None = None) -> DataFrame:
+        """The incoming incidents that no other epoch has stored yet, as of now.
+
+        What ``epoch`` itself left behind does not count: a repeated epoch has the same new ones.
+        """
+        return dedup_incidents(incoming, self.stored_for(incoming, epoch), within_batch=within_batch, order="id")
 
     def append_new(self, incoming: DataFrame, within_batch: bool = False) -> DataFrame:
         """Append the incidents not stored yet and return them.
@@ -81,41 +119,59 @@ class IncidentTable:
         return fresh
 
     def append(self, incidents: DataFrame) -> None:
-        """Append rows. Rebalancing gathers each partition's rows into few files and splits a
-        partition that holds too many for one task."""
+        """Append rows as an epoch of their own."""
+        self.write_epoch(incidents, f"batch-{uuid.uuid4().hex}")
+
+    def write_epoch(self, incidents: DataFrame, epoch: str) -> None:
+        """Store an epoch's rows in place of all that an earlier attempt at it has left.
+
+        Rebalancing gathers each partition's rows into few files and splits a partition that holds
+        too many for one task.
+        """
         dated = incidents.select(*INCIDENT_COLUMNS, partition_day(F.col("timestamp")).alias("event_day"))
-        dated.hint("rebalance", *PARTITIONS).write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
+        target = f"{self.path}/epoch={epoch}"
+        dated.hint("rebalance", *PARTITIONS).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(target)
 
-    def set_status(self, changes: DataFrame, feed_path: str | None = None) -> DataFrame:
-        """Write approved and rejected states into the table and return the messages to the tenants.
+    def change_status(self, changes: DataFrame, feed_path: str | None = None) -> DataFrame:
+        """Record approvals and rejections and return the messages to the tenants.
 
-        ``changes``: (id, status, actor). Partitions that hold a changed incident are written anew,
-        all others are left alone; an id that is not stored changes nothing.
+        ``changes``: (organization_id, incident_id, action, role, changed_at). Viewers change
+        nothing, and a request reaches its own tenant's incidents only; one that names no such
+        incident changes nothing. The message of an incident tells its latest state among them.
         """
-        asked = changes.select(F.col("id").alias("_id"), F.col("status").alias("_status"))
-        stored = self.read()
-        hit = stored.join(asked, stored["id"] == asked["_id"], "left_semi").select(
-            F.col("organization_id").alias("_tenant"), F.col("event_day").alias("_day")
-        ).distinct()
-        where = stored["organization_id"].eqNullSafe(hit["_tenant"]) & (stored["event_day"] == hit["_day"])
-        touched = stored.join(hit, where, "left_semi")
-        named = touched.join(asked, F.col("id") == F.col("_id"), "left")
-        after = materialize(named.withColumn("status", F.coalesce("_status", "status")))
-        written = after.select(*INCIDENT_COLUMNS, "event_day").hint("rebalance", *PARTITIONS)
-        written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.path)
-        feed = after.filter("_id is not null").select(
-            "organization_id", F.col("id").alias("incident_id"), F.lit("incident_status").alias("event"),
-            F.to_json(F.struct(F.col("id").alias("incident_id"), "status")).alias("payload"),
+        asked = allowed_changes(changes)
+        stored = self.rows().select(F.col("organization_id").alias("_tenant"), F.col("id").alias("_id"))
+        same = (F.col("organization_id") == F.col("_tenant")) & (F.col("incident_id") == F.col("_id"))
+        accepted = materialize(asked.join(stored, same, "left_semi"))
+        recorded = accepted.select("incident_id", "status", "role", F.col("changed_at").cast("timestamp"), "organization_id")
+        recorded.hint("rebalance", "organization_id").write.mode("append").partitionBy("organization_id").parquet(f"{self.path}/_status")
+        feed = latest_status(accepted).select(
+            "organization_id", "incident_id", F.lit("incident_status").alias("event"),
+            F.to_json(F.struct("incident_id", "status")).alias("payload"),
         )
         if feed_path:
             write_feed(feed, feed_path)
         return feed
 
+    def compact(self) -> None:
+        """Merge all epochs into one and the recorded states into the incidents.
+
+        A job of its own, for times when no stream writes. Old epochs go only after the new one is
+        complete; if that is interrupted, equal rows stand twice until it is run again.
+        """
+        merged = materialize(self.read().select(*INCIDENT_COLUMNS).distinct())
+        old = [r.epoch for r in self.rows().select("epoch").distinct().collect()]
+        self.write_epoch(merged, f"base-{uuid.uuid4().hex}")
+        for epoch in old:
+            self._delete(f"{self.path}/epoch={epoch}")
+        self._delete(f"{self.path}/_status")
+
     def purge(self, organization_id: int, role: str) -> int:
-        """Delete a tenant's partition (administrators only) and return how many incidents it held."""
+        """Delete a tenant's partitions (administrators only) and return how many incidents they held."""
         if role != "ADMIN":
             raise PermissionError("only an ADMIN may delete incidents")
-        count = self.read().filter(F.col("organization_id") == organization_id).count()
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/organization_id={int(organization_id)}")
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        count = self.rows().filter(F.col("organization_id") == organization_id).count()
+        tenant = f"organization_id={int(organization_id)}"
+        self._delete(f"{self.path}/epoch=*/{tenant}")
+        self._delete(f"{self.path}/_status/{tenant}")
         return count
