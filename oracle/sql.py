@@ -380,6 +380,8 @@ def loose(kind: str, source: str, protocol: str, where: str) -> str:
 _TCP = "CASE WHEN k % 2 = 0 THEN 'tcp' ELSE '' END"
 add("normalize_generic_json", loose("generic", "generic-json", _TCP, _KNOWN))
 add("normalize_csv", loose("csv", "csv", _TCP, _KNOWN))
+_BROKEN = """CASE WHEN k % 3 = 0 THEN replace(alert_type, ' ', chr(10) || '"x",') ELSE alert_type END AS alert_type"""
+add("normalize_spanning_csv", loose("csv", "csv", _TCP, _KNOWN).replace("domain, alert_type", f"domain, {_BROKEN}"))
 add("normalize_plain", loose("plain", "plain-text", _TCP, "true"))
 
 add("json_dialect", f"""{SIMPLE}

@@ -41,6 +41,29 @@ def test_eve_severity_and_dns(spark):
     ]
 
 
+def test_truth_of_json_values(spark):
+    """Zero, false and empty values are passed over where a truth test decides; their texts are not."""
+    alert = lambda s: {"event_type": "alert", **ENDS, "alert": {"signature": "s", "severity": s}}
+    severities = [1, "1", 1.0, 1.9, True, False, 2, "2", None, [1], 3]
+    got = events(json_lines.parse_json(as_lines(spark, [json.dumps(alert(s)) for s in severities])), "risk_level")
+    assert [r for (r,) in got] == ["High", "Low", "High", "Low", "High", "Low", "Medium", "Low", "Low", "Low", "Low"]
+    objects = [
+        {"event_type": "alert", "src_ip": 0, "source_ip": "3.3.3.3", "dest_ip": "2.2.2.2"},
+        {"event_type": "alert", "src_ip": "0", "source_ip": "3.3.3.3", "dest_ip": "2.2.2.2"},
+        {"event_type": "alert", "src_ip": 7, "dest_ip": "2.2.2.2"},
+        {"event_type": "alert", "src_ip": False, "source_ip": 0.0, "dest_ip": "2.2.2.2"},
+        {"src": "1", "dst": "2", "alert": False, "type": "t"}, {"src": "1", "dst": "2", "alert": "false"},
+        {"src": "1", "dst": "2", "alert": 0.0, "signature": [], "type": "t"}, {"src": "1", "dst": "2", "alert": {}, "type": "0"},
+        {"src": "1", "dst": "2", "hostname": "a: 0, b", "domain": 0, "alert": "x"},
+        {"src": "1", "dst": "2", "hostname": 'q": 0, \\', "x": {"y": -0.0e5, "z": [0, False]}, "domain": "d", "alert": "é" * 20_000, "last": 0},
+    ]
+    got = events(json_lines.parse_json(as_lines(spark, map(json.dumps, objects))), "source_ip", "alert_type", "domain")
+    assert got == [
+        ("3.3.3.3", "alert", ""), ("0", "alert", ""), ("7", "alert", ""), ("1", "t", ""), ("1", "false", ""), ("1", "t", ""),
+        ("1", "0", ""), ("1", "x", "a: 0, b"), ("1", "é" * 20_000, "d"),
+    ]
+
+
 def test_dialects(spark):
     objects = [
         {"event_type": "dns", "src_ip": None}, {"event_type": "dns"}, {"id.orig_h": "1"}, {"_path": "conn"},

@@ -197,6 +197,8 @@ CSV_ALIASES = {
     "protocol": ["proto", "protocol"],
 }
 JSON_ACCEPT_SHARE = 0.2
+# characters of one CSV cell beyond which a file is not read as CSV
+CSV_CELL_LIMIT = 131072
 
 # --- live filter ------------------------------------------------------------------
 ALWAYS_KEPT_TYPES = ["alert", "anomaly"]

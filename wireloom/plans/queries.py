@@ -141,6 +141,15 @@ def normalize_csv(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(router.normalize_csv(materialize(fl.render_csv(fl.flows(spark, sf)))))
 
 
+@query
+def normalize_spanning_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Records over up to three lines, some of which lie in two blocks."""
+    events = router.normalize_csv(materialize(fl.render_spanning_csv(fl.flows(spark, sf))))
+    seq = (F.floor(F.col("line_id") / fl.EVENT_PLACES) - 4).cast("long").alias("seq")
+    shown = [c for c in PARSED_COLUMNS if c != "raw"]
+    return events.select("organization_id", "batch_id", seq, *shown)
+
+
 @query
 def normalize_plain(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(router.normalize_plain(fl.render_plain(fl.flows(spark, sf))))

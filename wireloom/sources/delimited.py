@@ -53,11 +53,12 @@ def csv_cells(line: Column) -> Column:
     quoted = F.regexp_extract_all(
         F.concat(F.lit(","), line), F.lit(r',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'), F.lit(1)
     )
+    # what follows the closing quote within a cell is taken as it is
+    part = lambda c, i: F.regexp_extract(c, r'^"((?:[^"]++|"")*+)"([^,]*+)', i)
     unquoted = F.transform(
         quoted,
         lambda c: F.when(
-            F.startswith(c, F.lit('"')),
-            F.replace(F.regexp_replace(c, r'^"((?:[^"]++|"")*+)"', "$1"), F.lit('""'), F.lit('"')),
+            F.startswith(c, F.lit('"')), F.concat(F.replace(part(c, 1), F.lit('""'), F.lit('"')), part(c, 2))
         ).otherwise(c),
     )
     return F.when(F.contains(line, F.lit('"')), unquoted).otherwise(F.split(line, ","))

@@ -214,6 +214,27 @@ def render_csv(df: DataFrame) -> DataFrame:
     return top.unionByName(_as_lines(df, _org_file("csv"), csv_line()))
 
 
+# lines of a block of the CSV files whose records span lines; no multiple of a record's places
+SPANNING_BLOCK = 1001
+# places kept for the lines of one event
+EVENT_PLACES = 4
+
+
+def render_spanning_csv(df: DataFrame) -> DataFrame:
+    """CSV files in which every third alert is broken over lines, cut into blocks anywhere."""
+    alert = F.when(F.col("k") % 3 == 0, F.replace("alert_type", F.lit(" "), F.lit('\n""x"",'))).otherwise(F.col("alert_type"))
+    header = F.get(F.array(*[F.lit(h) for h in CSV_HEADERS]), F.col("organization_id").cast("int"))
+    top = _headers(df.sparkSession, df, _org_file("csv"), F.array(header))
+    whole = _as_lines(df.withColumn("alert_type", alert), _org_file("csv"), csv_line())
+    parts = whole.select("organization_id", "batch_id", "line_id", F.posexplode(F.split("value", "\n")).alias("_part", "value"))
+    place = F.col("line_id") * EVENT_PLACES + F.col("_part")
+    body = parts.select(
+        "organization_id", "batch_id", (F.floor(place / SPANNING_BLOCK) * SPANNING_BLOCK).cast("long").alias("block"),
+        place.alias("line_id"), "value",
+    )
+    return top.unionByName(body)
+
+
 def render_plain(df: DataFrame) -> DataFrame:
     five = F.concat_ws(" , ", "timestamp", "source_ip", "destination_ip", "domain", "alert_type")
     line = F.when(F.col("k") % 2 == 0, F.concat(five, F.lit(",tcp"))).otherwise(five)

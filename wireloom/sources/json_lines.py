@@ -23,7 +23,7 @@ _TOP = [
 ]
 _TOP_TYPE = "struct<" + ", ".join(f"`{name}`: string" for name in _TOP) + ">"
 _NESTED_TYPE = """struct<
-    alert: struct<signature: string, category: string, severity: int, signature_id: string, action: string>,
+    alert: struct<signature: string, category: string, severity: variant, signature_id: string, action: string>,
     http: struct<hostname: string>,
     dns: struct<rrname: string, queries: array<struct<rrname: string>>, answers: array<struct<rrname: string>>>,
     tls: struct<sni: string>>"""
@@ -31,6 +31,26 @@ _NESTED_TYPE = """struct<
 _PRESENCE_TYPE = "struct<" + ", ".join(
     f"`{name}`: variant" for name in ["src_ip", "dest_ip", "id.orig_h", "orig_h", "_path"]
 ) + ">"
+# a value that a truth test skips: the number 0, false, an empty list or object, as a member's value
+_FALSE = r"(?:false|-?0[.0]*(?:[eE][+-]?[0-9]+)?|\[\s*\]|\{\s*\})(?=\s*[,}])"
+_MAYBE_FALSE = r":\s*" + _FALSE
+# from where the last match ended: text without such a member, strings taken whole, up to the next one
+_TO_NEXT_FALSE = r'\G((?:[^":]++|"(?:[^"\\]++|\\.)*+"|:(?!\s*' + _FALSE + r"))*+:\s*)" + _FALSE
+
+
+def without_false() -> Column:
+    """The line with null in place of values that a truth test skips. The texts "0" and "false" are
+    values and stay; only lines that may hold such a number or word are rewritten."""
+    value = F.col("value")
+    return F.when(F.rlike(value, F.lit(_MAYBE_FALSE)), F.regexp_replace(value, _TO_NEXT_FALSE, "$1null")).otherwise(value)
+
+
+def severity_number() -> Column:
+    """Severity if it is a number (or a truth value, which counts as 1 or 0); texts are none."""
+    given = F.col("_j.nested.alert.severity")
+    kind = F.schema_of_variant(given)
+    flag = F.try_variant_get(given, "$", "boolean").cast("double")
+    return F.when(kind == "BOOLEAN", flag).when(kind != "STRING", F.try_variant_get(given, "$", "double"))
 
 
 def _f(name: str) -> Column:
@@ -52,10 +72,10 @@ def _alert_text() -> Column:
     return F.when(~_f("alert").isin("{}", "[]"), _f("alert"))
 
 
-def with_json(lines: DataFrame, value: str = "value") -> DataFrame:
+def with_json(lines: DataFrame) -> DataFrame:
     """Decode objects; anything else (scalars, arrays, broken text) is left null."""
-    is_object = F.startswith(strip(F.col(value)), F.lit("{"))
-    return lines.withColumn("_json", F.when(is_object, F.try_parse_json(value)))
+    is_object = F.startswith(strip(F.col("value")), F.lit("{"))
+    return lines.withColumn("_json", F.when(is_object, F.try_parse_json(without_false())))
 
 
 def with_fields(lines: DataFrame) -> DataFrame:
@@ -117,7 +137,6 @@ def eve_columns() -> dict[str, Column]:
     signature = first_truthy(
         _n("alert.signature"), _n("alert.category"), _f("event_type"), default="suricata-event"
     )
-    severity = _n("alert.severity")
     return {
         "source": F.lit("suricata"),
         "timestamp": first_truthy(_f("timestamp"), _f("time")),
@@ -129,7 +148,7 @@ def eve_columns() -> dict[str, Column]:
         "alert_type": display_alert(event_type, domain, proto, signature),
         "protocol": proto,
         "event_type": event_type,
-        "risk_level": lookup(severity, fixed.SEVERITY_RISK, F.lit("Low")),
+        "risk_level": lookup(severity_number(), fixed.SEVERITY_RISK, F.lit("Low")),
         "signature_id": _n("alert.signature_id"),
         "category": F.coalesce(_n("alert.category"), F.lit("")),
         "action": F.coalesce(_n("alert.action"), F.lit("")),

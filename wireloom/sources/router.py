@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from wireloom.functions import fixed_values as fixed
 from wireloom.functions.text import choose, starts_with_any, strip
-from wireloom.operators.lookups import key_lookup
+from wireloom.operators.lookups import small_lookup
 from wireloom.schemas import EVENT_SCHEMA
 from wireloom.session import materialize, scratch_path
 from wireloom.sources import delimited
+from wireloom.sources.csv_records import csv_records
 from wireloom.sources.json_lines import parse_json, with_json_outcome
 from wireloom.sources.lines import FILE_KEYS, LINE_COLUMNS, ORDER, is_blank, number_events
 
@@ -84,11 +85,12 @@ def file_profile(lines: DataFrame, count_json: bool = True) -> DataFrame:
     """One row per file: line counts, JSON yield, Zeek type and cells, CSV cells.
 
     A first pass counts; a second one keeps just the first line and the ``#`` lines of each file
-    and reads the headers out of them.
+    and reads the headers out of them. Both results are one row per file and stored, so that they
+    go to the lines and not the lines to them.
     """
-    counts = line_counts(lines, count_json)
+    counts = materialize(line_counts(lines, count_json))
     value = F.col("value")
-    placed = key_lookup(lines, counts, FILE_KEYS, how="inner")
+    placed = small_lookup(lines, counts, FILE_KEYS)
     is_head = (F.col("block") == F.col("head_block")) & (F.col("line_id") == F.col("head_id"))
     top = placed.filter(is_head | F.startswith(value, F.lit("#")))
     nth = F.when(F.col("block") == F.col("head_block"), F.col("line_id") - F.col("head_id"))
@@ -110,13 +112,13 @@ def file_profile(lines: DataFrame, count_json: bool = True) -> DataFrame:
     staged = found.withColumns(
         {"_names": field_names(F.col("fields_line")), "_header": delimited.csv_cells(F.ltrim(F.col("head")))}
     )
-    return staged.select(
+    return materialize(staged.select(
         *FILE_KEYS, "n_lines", "n_json", "n_corrupt", "head_block", "head_id", "has_zeek_header", "zeek_type",
         F.when(F.col("_names").isNotNull(), delimited.positions(F.col("_names"), delimited.ZEEK_FIELDS)).alias(
             "zeek_cells"
         ),
         delimited.positions(F.col("_header"), fixed.CSV_ALIASES).alias("csv_cells"),
-    )
+    ))
 
 
 def json_accepted() -> Column:
@@ -129,7 +131,7 @@ def zeek_candidate() -> Column:
 
 
 def _with_profile(lines: DataFrame, profile: DataFrame) -> DataFrame:
-    return key_lookup(lines, profile, FILE_KEYS, how="inner")
+    return small_lookup(lines, profile, FILE_KEYS)
 
 
 def normalize_zeek_tsv(lines: DataFrame) -> DataFrame:
@@ -139,9 +141,19 @@ def normalize_zeek_tsv(lines: DataFrame) -> DataFrame:
 
 
 def normalize_csv(lines: DataFrame) -> DataFrame:
-    """Events of files known to be CSV with a header line."""
-    profile = file_profile(lines, count_json=False)
-    return delimited.parse_csv(_with_profile(lines, profile))
+    """Events of files known to be CSV with a header line; records may span lines."""
+    records = csv_records(lines)
+    return delimited.parse_csv(_with_profile(records, file_profile(records, count_json=False)))
+
+
+def _csv_events(lines: DataFrame, profile: DataFrame) -> DataFrame:
+    """Events of the CSV files that ``profile`` lists."""
+    own = _with_profile(lines, profile)
+    plain = own.select(*LINE_COLUMNS)
+    records = csv_records(plain)
+    if records is plain:
+        return delimited.parse_csv(own)
+    return delimited.parse_csv(_with_profile(records, file_profile(records, count_json=False)))
 
 
 def normalize_plain(lines: DataFrame) -> DataFrame:
@@ -155,15 +167,16 @@ def choose_routes(lines: DataFrame) -> DataFrame:
     are settled by the profile. Only the others are parsed once more to see whether their
     candidate yields at least one event.
     """
-    profile = materialize(file_profile(lines))
+    profile = file_profile(lines)
     settled = ~zeek_candidate() & json_accepted()
     open_files = profile.filter(~settled)
     if open_files.isEmpty():
         return profile.withColumn("route", F.lit("json"))
+    open_files = materialize(open_files)
     looked_up = _with_profile(lines, open_files)
     one = lambda df, name: df.groupBy(*FILE_KEYS).agg(F.lit(True).alias(name))
     zeek_hits = one(delimited.parse_zeek_tsv(looked_up.filter(zeek_candidate())), "zeek_hit")
-    csv_hits = one(delimited.parse_csv(looked_up.filter(~json_accepted())), "csv_hit")
+    csv_hits = one(_csv_events(lines, open_files.filter(~json_accepted())), "csv_hit")
     judged = profile.join(zeek_hits, FILE_KEYS, "left").join(csv_hits, FILE_KEYS, "left")
     route = choose(
         [
@@ -187,11 +200,12 @@ def parse_logs(lines: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     parsers = {
         "zeek_tsv": delimited.parse_zeek_tsv,
         "json": lambda of_file: parse_json(of_file.select(*LINE_COLUMNS)),
-        "csv": delimited.parse_csv,
         "plain": delimited.parse_plain,
     }
     # a pass over the lines only for formats that occur
     parsed = [parse(part(route)) for route, parse in parsers.items() if route in present]
+    if "csv" in present:
+        parsed.append(_csv_events(lines, routes.filter(F.col("route") == "csv")))
     if not parsed:
         parsed = [parse_json(lines)]
     return reduce(lambda a, b: a.unionByName(b), parsed)
