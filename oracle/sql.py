@@ -594,3 +594,17 @@ add("stream_detect", f"""{SIMPLE}, {EVE}, live AS (SELECT * REPLACE (shown AS al
 ORACLE_SQL["stream_grow"] = ORACLE_SQL["stream_tail"]
 add("stream_dedup", f"{SIMPLE} SELECT DISTINCT source_ip, destination_ip, timestamp, alert_type FROM flows WHERE source_ip <> ''")
 ORACLE_SQL["stream_timeline"] = ORACLE_SQL["risk_timeline"]
+add("raw_events", f"""{SIMPLE}
+  SELECT {org_file('csv')} AS batch_id, seq, concat_ws(',', timestamp, source_ip, destination_ip, domain, '"' || alert_type || '"', {_TCP}) AS raw
+  FROM flows WHERE {_KNOWN}
+  UNION ALL SELECT concat('zeek-conn-', CAST(organization_id AS VARCHAR)), seq,
+    concat_ws(chr(9), timestamp, source_ip, '40000', destination_ip, '443', 'tcp', CASE WHEN k % 4 = 0 THEN 'http' ELSE '-' END,
+              ['S0', 'SF', 'REJ', '-'][k % 4 + 1], CASE WHEN domain = '' THEN '-' ELSE domain END)
+  FROM flows WHERE k % 6 = 0 AND {_KNOWN}
+  UNION ALL SELECT {org_file('plain')}, seq, concat_ws(' , ', timestamp, source_ip, destination_ip, domain, alert_type) || CASE WHEN k % 2 = 0 THEN ',tcp' ELSE '' END
+  FROM flows""")
+add("model_checks", f"""{SIMPLE}
+  SELECT organization_id, count(*) AS scored, CAST(0 AS BIGINT) AS wrong_tiers, CAST(0 AS BIGINT) AS wrong_verdicts, CAST(0 AS BIGINT) AS wrong_reasons,
+    CAST(0 AS BIGINT) AS wrong_scores, CAST(0 AS BIGINT) AS missed_alerts, CAST(0 AS BIGINT) AS loaded_differs,
+    CAST(count(*) - CASE WHEN count(*) < 20 THEN 0 ELSE count(*) % 20 END AS BIGINT) AS windowed, count(*) AS clean_vectors, count(*) AS split_rows
+  FROM flows GROUP BY organization_id""")

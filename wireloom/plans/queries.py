@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.functions import entropy, network, rules
-from wireloom.functions.fixed_values import ATTACK_LABELS
+from wireloom.functions.fixed_values import ATTACK_LABELS, FEATURE_NAMES
 from wireloom.functions.mitre import with_mitre
 from wireloom.functions.text import first_truthy
 from wireloom.models import classifiers
 from wireloom.models.ensemble import Ensemble
+from wireloom.models.vectors import scaled_vectors
 from wireloom.operators import dashboard, evaluation, incidents, sequences
 from wireloom.operators.features import (
     HEURISTIC_FEATURES,
@@ -155,6 +156,17 @@ def normalize_plain(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(router.normalize_plain(fl.render_plain(fl.flows(spark, sf))))
 
 
+@query
+def raw_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw text that events of three formats keep."""
+    f = fl.flows(spark, sf)
+    csv = router.normalize_csv(materialize(fl.render_csv(f)))
+    zeek = router.normalize_zeek_tsv(materialize(fl.render_zeek_tsv(f)))
+    plain = router.normalize_plain(fl.render_plain(f))
+    kept = [e.select("batch_id", *_line_seq(), "raw") for e in (csv, zeek.filter("source = 'zeek-conn'"), plain)]
+    return kept[0].union(kept[1]).union(kept[2])
+
+
 # --- predicates and scalar rules ---------------------------------------------------
 @query
 def first_truthy_value(spark: SparkSession, sf: str) -> DataFrame:
@@ -723,6 +735,35 @@ def model_io(spark: SparkSession, sf: str) -> DataFrame:
     return again.classify(rows, "pos").select("event_id", "prediction", "threat_score")
 
 
+@query
+def model_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Per tenant: what every scored event must satisfy, whatever the models have learnt."""
+    ensemble, rows = _trained(spark, sf)
+    events = _tenant_stream(spark, sf)
+    scored = ensemble.predict(events).withColumn("position", F.col("seq"))
+    category, count = F.col("attack_category"), lambda c: F.count_if(c).cast("long")
+    whole = scaled_vectors(events)
+    finite = F.forall("x", lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    windowed = ensemble.classify(whole).groupBy("organization_id").agg(count(F.col("has_seq")).alias("windowed"))
+    clean = whole.groupBy("organization_id").agg(count(finite & (F.size("x") == len(FEATURE_NAMES))).alias("clean_vectors"))
+    path = scratch_path(spark, "models")
+    ensemble.save(spark, path)
+    again = Ensemble.load(spark, path).predict(events).select("organization_id", "seq", *[F.col(c).alias(f"_{c}") for c in PREDICTION_COLUMNS])
+    differs = F.struct(*PREDICTION_COLUMNS) != F.struct(*[F.col(f"_{c}").alias(c) for c in PREDICTION_COLUMNS])
+    named = rules.attack_category(F.col("alert_type"))
+    judged = scored.join(again, ["organization_id", "seq"]).groupBy("organization_id").agg(
+        F.count(F.lit(1)).alias("scored"),
+        count(F.col("risk_tier") != rules.risk_tier(category)).alias("wrong_tiers"),
+        count(F.col("ai_prediction") != rules.prediction_label(category)).alias("wrong_verdicts"),
+        count(F.col("ai_reason") != rules.threat_reason(category, F.col("threat_score"))).alias("wrong_reasons"),
+        count(~F.col("ai_score").between(0, 1) | F.isnan("ai_score")).alias("wrong_scores"),
+        count((category == "Benign") & named.isNotNull()).alias("missed_alerts"),
+        count(differs).alias("loaded_differs"),
+    )
+    splits = rows.groupBy("organization_id").agg(F.count(F.lit(1)).alias("split_rows"))
+    return judged.join(windowed, "organization_id").join(clean, "organization_id").join(splits, "organization_id")
+
+
 # the catalogue uses the operator names
 QUERIES["first_truthy"] = QUERIES.pop("first_truthy_value")
 QUERIES["flow_features"] = QUERIES.pop("feature_table")
