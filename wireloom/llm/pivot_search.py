@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import pick, stored
 
-# pivots per vector length, chosen among about so many rows
-PIVOTS = 24
+# pivots per vector length, chosen among about so many rows; those rows also give each query a
+# first k-th score
+PIVOTS = 60
 PIVOT_SAMPLE = 2_000
-# queries of one pass; they and their bounds fit a task whatever the number of queries
-QUERY_BLOCK = 1024
-ROWS_AT_ONCE = 8192
+# queries and candidate rows that meet in one task
+QUERY_BLOCK = 2048
+ROW_BLOCK = 8192
+QUERIES_AT_ONCE = 256
 # candidates that are scored between two looks at the bound
 STEP = 64
 LONG = (1 << 63) - 1
@@ -56,101 +57,124 @@ class Pivots:
 
     A row x gets one more component, the root of M - |x|^2 with M the largest squared norm, and a
     query q gets 0. Then |q - x|^2 = |q|^2 + M - 2 qx: the nearest rows have the highest product.
+
+    A row's distances to all pivots fix its place in the space the pivots span and its height above
+    it. Two points are at least as far apart as these are, which is never less than the difference
+    of their distances to any single pivot: the highest lower bound that the table holds.
     """
 
     def __init__(self, sample: np.ndarray, largest: float, count: int = PIVOTS):
         self.largest = largest
-        lifted = self.lift(sample)
-        self.points = farthest_first(lifted, count) if len(lifted) else lifted
+        self.points = farthest_first(self.lift(sample), count)
+        self.steps = self.points[1:] - self.points[0]
+        left, size, _ = np.linalg.svd(self.steps, full_matrices=False)
+        firm = size > 1e-3 * size.max(initial=0)  # directions told apart too badly are left out
+        self.turn = left[:, firm] / size[firm]
 
     def lift(self, rows: np.ndarray) -> np.ndarray:
         spare = np.sqrt(np.maximum(self.largest - (rows**2).sum(axis=1), 0))
         return np.concatenate([rows, spare[:, None]], axis=1)
 
     def distances(self, lifted: np.ndarray) -> np.ndarray:
+        """Squared distances to the pivots: the pivot table."""
         square = (lifted**2).sum(axis=1)[:, None] + (self.points**2).sum(axis=1)[None, :] - 2 * lifted @ self.points.T
-        return np.sqrt(np.maximum(square, 0))
+        return np.maximum(square, 0)
+
+    def places(self, far: np.ndarray) -> np.ndarray:
+        """Coordinates within the span of the pivots and the height above it, from the distances."""
+        along = (far[:, :1] + (self.steps**2).sum(axis=1)[None, :] - far[:, 1:]) / 2
+        inside = along @ self.turn
+        height = np.sqrt(np.maximum(far[:, 0] - (inside**2).sum(axis=1), 0))
+        return np.concatenate([inside, height[:, None]], axis=1)
+
+
+def upper_bounds(queries: np.ndarray, query_places: np.ndarray, places: np.ndarray, largest: float) -> np.ndarray:
+    """For each query and row, what their inner product cannot exceed."""
+    square = (queries**2).sum(axis=1)
+    least = (query_places**2).sum(axis=1)[:, None] + (places**2).sum(axis=1)[None, :] - 2 * query_places @ places.T
+    slack = 1e-6 * (1.0 + square + largest)
+    return (square[:, None] + largest - np.maximum(least, 0)) / 2 + slack[:, None]
 
 
-def _table(vectors: DataFrame, pivots: dict[int, Pivots]) -> DataFrame:
-    """The pivot table: each row's distances to the pivots of its length, computed once."""
-    held = vectors.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors per length
+def kth_score(query: np.ndarray, row: int, sample: np.ndarray, sample_rows: np.ndarray, k: int) -> int | None:
+    """The k-th best score among sampled rows other than the query's own; None if there are fewer."""
+    scores = sorted((s for s, r in zip(exact_scores(query, sample), sample_rows.tolist()) if r != row), reverse=True)
+    return scores[k - 1] if len(scores) >= k else None
+
+
+def _table(vectors: DataFrame, pivots: dict[int, tuple[Pivots, np.ndarray, np.ndarray]], every: int, k: int) -> DataFrame:
+    """The pivot table: each row's place by its distances to the pivots, and each query's first k-th score."""
+    held = vectors.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS and PIVOT_SAMPLE rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("vector").to_pylist()
-            far: list[list[float]] = [[]] * len(lists)
+            rows, ids = batch.column("row").to_pylist(), batch.column("vec_id").to_pylist()
+            places: list[list[float]] = [[]] * len(lists)
+            start: list[int | None] = [None] * len(lists)
             by_size: dict[int, list[int]] = {}
             for i, v in enumerate(lists):
                 by_size.setdefault(len(v), []).append(i)
             for size, at in by_size.items():
-                p = held.value[size]
-                found = p.distances(p.lift(np.array([lists[i] for i in at]).reshape(len(at), size)))
+                p, sample, sample_rows = held.value[size]
+                own = np.array([lists[i] for i in at]).reshape(len(at), size)
+                lifted = p.lift(own)
+                asks = np.array([ids[i] % every == 0 for i in at])
+                found = p.places(p.distances(lifted))
+                lifted[:, -1] = 0.0  # as a query
+                as_query = p.places(p.distances(lifted[asks]))
                 for i, d in zip(at, found.tolist()):
-                    far[i] = d
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far, pa.list_(pa.float64()))], [*batch.schema.names, "far"])
+                    places[i] = d
+                for j, d in zip(np.flatnonzero(asks).tolist(), as_query.tolist()):
+                    places[at[j]] = places[at[j]] + d
+                    start[at[j]] = kth_score(own[j], rows[at[j]], sample, sample_rows, k)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(places, pa.list_(pa.float64())), pa.array(start, pa.int64())], [*batch.schema.names, "place", "start"]
+            )
 
-    return vectors.mapInArrow(run, "row bigint, vec_id bigint, vector array<double>, far array<double>")
+    return vectors.mapInArrow(run, "row bigint, vec_id bigint, vector array<double>, place array<double>, start bigint")
 
 
-def search_rows(queries: Sequence[dict], pivots: dict[int, Pivots], k: int, ids: np.ndarray, rows: np.ndarray,
-                vectors: np.ndarray, far: np.ndarray, best: dict[int, list[tuple[int, int, int]]]) -> None:
-    """Work rows of one length into ``best`` of each query: (-score, vec_id, row), the best k first.
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = column.combine_chunks()
+    flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
 
-    The largest difference of distances to a pivot is a lower bound of the distance, hence an
-    upper bound of the product. Rows are scored in the order of that bound until the next one is
-    below the k-th score; an equal one is still scored, for it may have the smaller id.
-    """
-    for q in queries:
-        vector = q["vector"]
-        p = pivots[len(vector)]
-        square = float((vector**2).sum())
-        gap = np.abs(far - q["far"]).max(axis=1) if far.shape[1] else np.zeros(len(rows))
-        slack = 1e-6 * (1.0 + square + p.largest)
-        bound = (square + p.largest - gap**2) / 2 + slack
-        top = best[q["row"]]
-        least = -top[-1][0] if len(top) == k else None
-        open_ = np.flatnonzero(bound >= least) if least is not None else np.arange(len(rows))
-        order = open_[np.argsort(-bound[open_], kind="stable")]
-        at = 0
-        while at < len(order) and (least is None or bound[order[at]] >= least):
-            part = order[at : at + STEP]
-            at += STEP
-            scored = zip(exact_scores(vector, vectors[part]), ids[part].tolist(), rows[part].tolist())
-            top = sorted([*top, *((-s, i, r) for s, i, r in scored if r != q["row"])])[:k]
-            least = -top[-1][0] if len(top) == k else None
-        best[q["row"]] = top
-
-
-def _block_search(table: DataFrame, queries: list[dict], pivots: dict[int, Pivots], k: int) -> DataFrame:
-    context = table.sparkSession.sparkContext
-    held = context.broadcast((queries, pivots))  # at most about QUERY_BLOCK queries
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, points = held.value
-        by_size: dict[int, list[dict]] = {}
-        for q in asked:
-            by_size.setdefault(len(q["vector"]), []).append(q)
-        best: dict[int, list[tuple[int, int, int]]] = {q["row"]: [] for q in asked}
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                lists, far = part.column("vector"), part.column("far")
-                sizes = np.array([len(x) for x in lists])
-                ids, rows = part.column("vec_id").to_numpy(), part.column("row").to_numpy()
-                for size in np.unique(sizes):
-                    if int(size) not in by_size:
-                        continue
-                    own = np.flatnonzero(sizes == size)
-                    pick_ = pa.array(own)
-                    vectors = np.asarray(lists.take(pick_).flatten()).reshape(len(own), size)
-                    distances = np.asarray(far.take(pick_).flatten()).reshape(len(own), -1)
-                    search_rows(by_size[int(size)], points, k, ids[own], rows[own], vectors, distances, best)
-        found = [(q["row"], q["vec_id"], i, r, -s) for q in asked for s, i, r in best[q["row"]]]
-        columns = list(zip(*found)) if found else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["asked", "query_id", "vec_id", "row", "score"])
-
-    return table.mapInArrow(run, "asked bigint, query_id bigint, vec_id bigint, row bigint, score bigint")
+def search_block(rows: pa.Table, queries: pa.Table, largest: dict[int, float], k: int) -> list[tuple[int, int, int, int, int]]:
+    """(asked, query_id, vec_id, row, score): the best ``k`` of a block's rows for each query.
+
+    Bounds of many queries and all rows come from one matrix product. A query's rows are scored in
+    the order of their bounds until the next one is below its k-th score; an equal one is still
+    scored, for it may have the smaller id.
+    """
+    if not rows.num_rows or not queries.num_rows:
+        return []
+    vectors, asked = _matrix(rows.column("vector"), rows.num_rows), _matrix(queries.column("vector"), queries.num_rows)
+    places, twice = _matrix(rows.column("place"), rows.num_rows), _matrix(queries.column("place"), queries.num_rows)
+    limit = largest[vectors.shape[1]]
+    ids, numbers = rows.column("vec_id").to_numpy(), rows.column("row").to_numpy()
+    names, own = queries.column("vec_id").to_pylist(), queries.column("row").to_pylist()
+    start = queries.column("start").to_pylist()
+    found = []
+    for first in range(0, len(asked), QUERIES_AT_ONCE):
+        part = slice(first, first + QUERIES_AT_ONCE)
+        bounds = upper_bounds(asked[part], twice[part, twice.shape[1] // 2 :], places, limit)
+        for q, bound in zip(range(first, len(asked)), bounds):
+            least = start[q]
+            open_ = np.flatnonzero(bound >= least) if least is not None else np.arange(len(ids))
+            order = open_[np.argsort(-bound[open_], kind="stable")]
+            top: list[tuple[int, int, int]] = []
+            at = 0
+            while at < len(order) and (least is None or bound[order[at]] >= least):
+                near = order[at : at + STEP]
+                at += STEP
+                scored = zip(exact_scores(asked[q], vectors[near]), ids[near].tolist(), numbers[near].tolist())
+                top = sorted([*top, *((-s, i, r) for s, i, r in scored if r != own[q])])[:k]
+                if len(top) == k:
+                    least = -top[-1][0] if least is None else max(least, -top[-1][0])
+            found += [(own[q], names[q], i, r, -s) for s, i, r in top]
+    return found
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -160,7 +184,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     candidates are all rows but the query's own, ties go to the smaller id. Rows whose id or vector
     is null, or that hold null or non-finite components, take no part. Vectors of another length
     are no candidates. Rows with equal ids are rows of their own. Scores beyond a long end at its
-    limits. Queries run in blocks of about QUERY_BLOCK against the stored pivot table.
+    limits. Blocks of queries meet blocks of rows in one task each.
     """
     spark = vectors.sparkSession
     rows = stored(
@@ -174,29 +198,34 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.max(norm).alias("largest"), F.count(F.lit(1)).alias("rows")).collect()
     total = sum(s["rows"] for s in sizes)
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     if not total:
-        return empty
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     part = max(1, total // PIVOT_SAMPLE)
-    sample = rows.filter(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).select("vector").toArrow().column("vector").to_pylist()
-    pivots = {
-        s["size"]: Pivots(np.array([v for v in sample if len(v) == s["size"]]).reshape(-1, s["size"]), float(s["largest"]))
-        for s in sizes
-    }
-    table = stored(_table(rows, pivots), "pivots")
-    asked = table.filter(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = []
-    for b in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow()
-        queries = [
-            {"row": r, "vec_id": i, "vector": np.array(v, dtype=float), "far": np.array(d)}
-            for r, i, v, d in zip(*(own.column(c).to_pylist() for c in ("row", "vec_id", "vector", "far")))
-        ]
-        if queries:
-            found.append(_block_search(table, queries, pivots, k))
-    if not found:
-        return empty
+    drawn = rows.filter(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).select("row", "vector").toArrow()
+    sample = list(zip(drawn.column("row").to_pylist(), drawn.column("vector").to_pylist()))
+    pivots = {}
+    for s in sizes:
+        size, own = s["size"], [x for x in sample if len(x[1]) == s["size"]]
+        points = np.array([v for _, v in own], dtype=float).reshape(-1, size)
+        if not own:  # no row of this length was drawn: any point will do as a pivot
+            points = np.zeros((1, size))
+        pivots[size] = (Pivots(points, float(s["largest"])), points[: len(own)], np.array([r for r, _ in own], dtype=np.int64))
+    largest = {s["size"]: float(s["largest"]) for s in sizes}
+    table = stored(_table(rows, pivots, every, k), "pivots").withColumn("size", F.size("vector"))
+    asks = F.col("vec_id") % every == 0
+    row_blocks, query_blocks = -(-total // ROW_BLOCK), max(1, -(-table.filter(asks).count() // QUERY_BLOCK))
+    block = lambda n, seed: F.expr(f"pmod(xxhash64(row, {seed}), {n})").cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    width = F.when(asks, F.floor(F.size("place") / 2)).otherwise(F.size("place")).cast("int")
+    left = table.withColumn("place", F.slice("place", F.lit(1), width)).withColumn("c", block(row_blocks, 1)).withColumn("b", each(query_blocks))
+    right = table.filter(asks).withColumn("b", block(query_blocks, 2)).withColumn("c", each(row_blocks))
+
+    def run(near: pa.Table, queries: pa.Table) -> pa.Table:
+        columns = list(zip(*search_block(near, queries, largest, k))) or [[]] * 5
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["asked", "query_id", "vec_id", "row", "score"])
+
+    key = ("size", "c", "b")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "asked bigint, query_id bigint, vec_id bigint, row bigint, score bigint")
     order = W.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "row")
-    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order))
+    ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
