@@ -313,3 +313,39 @@ def test_pieces_chunked_equal_whole(spark, docs, empty):
         for r in back:
             assert r.decoded == (r.text or "") and r.score == (whole.best_cut(" " + r.text)[1] if r.text else 0)
     assert piece_scan.encode_pieces(empty).count() == 0
+
+
+def test_best_cut_equals_plain_dynamic_programme():
+    """Against a forward pass over all substrings, written without the vocabulary's tree, units or memory."""
+    v = piece_scan.Vocabulary(piece_scan.PIECES)
+
+    def best(s):
+        score = [0] + [None] * len(s)
+        for j in range(1, len(s) + 1):
+            ways = [score[i] + v.weight[s[i:j]][0] for i in range(max(0, j - v.longest), j) if score[i] is not None and s[i:j] in v.weight]
+            if s[j - 1] not in v.weight and score[j - 1] is not None:
+                ways.append(score[j - 1] + v.byte_weight * len(s[j - 1].encode()))
+            score[j] = max(ways, default=None)
+        return score[-1]
+
+    rng = np.random.default_rng(7)
+    letters = list("abcdeinorst  \n.é漢🙂")
+    for n in (1, 2, 5, 40, 300):
+        for _ in range(8):
+            s = " " + "".join(rng.choice(letters, n))
+            ids, weight = v.encode(s)
+            assert weight == best(s) and v.decode(ids) == s[1:]
+
+
+def test_giant_text_at_the_production_chunk_size(spark):
+    """Several levels of chunks: the weight of one pass, and the text back."""
+    rng = np.random.default_rng(3)
+    words = ["the", "river", "mühle", "x" * 70, "\n", "  ", "漢字", "unbelievably"]
+    giant = " ".join(rng.choice(words, 60_000))
+    assert len(giant) > 5 * piece_scan.CHUNK_CHARS
+    docs = spark.createDataFrame([(1, giant, 5), (2, giant, 5), (3, None, 5), (4, "", 5)], "doc_id long, text string, score int")
+    rows = {r.doc_id: r for r in piece_scan.decode_pieces(piece_scan.encode_pieces(docs)).collect()}
+    ids, weight = piece_scan.Vocabulary(piece_scan.PIECES).encode(" " + giant)
+    for i in (1, 2):
+        assert rows[i].score == weight and rows[i].decoded == giant
+    assert rows[3].decoded is None or rows[3].tokens == [] and rows[4].tokens == []

@@ -224,16 +224,27 @@ def _encode_short(rows: DataFrame, path: str) -> DataFrame:
 
 
 def _cut(rows: DataFrame, chunk: int, reach: int) -> DataFrame:
-    """(row, part, piece, size): chunks of ``chunk`` characters with ``reach`` more for context."""
-    whole = F.concat(F.lit(" "), F.col("text"))
-    parts = F.ceil(F.length(whole) / chunk).cast("int")
-    at = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-    start = F.col("part") * chunk + 1
-    return (
-        rows.select("row", whole.alias("whole"), at)
-        .select("row", F.col("part").cast("long").alias("part"), F.substring("whole", start, F.lit(chunk + reach)).alias("piece"))
-        .withColumn("size", F.least(F.length("piece"), F.lit(chunk)))
-    )
+    """(row, part, piece, size): chunks of ``chunk`` characters with ``reach`` more for context.
+
+    Each text is walked through once, whatever its length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+                whole = " " + text.as_py()
+                for first in range(0, len(whole), FAN * chunk):
+                    starts = range(first, min(first + FAN * chunk, len(whole)), chunk)
+                    pieces = [whole[at : at + chunk + reach] for at in starts]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row] * len(starts), pa.int64()), pa.array([at // chunk for at in starts], pa.int64()),
+                            pa.array(pieces, pa.string()), pa.array([min(len(p), chunk) for p in pieces], pa.int32()),
+                        ],
+                        ["row", "part", "piece", "size"],
+                    )
+
+    return rows.select("row", "text").mapInArrow(run, "row bigint, part bigint, piece string, size int")
 
 
 def _transfers(chunks: DataFrame, path: str) -> DataFrame:
@@ -355,7 +366,10 @@ def decode_pieces(rows: DataFrame, path: str = PIECES) -> DataFrame:
         for batch in batches:
             vocabulary = vocabulary or Vocabulary(path)
             lists = batch.column("tokens")
-            texts = [None if not x.is_valid else vocabulary.decode(x.values.to_pylist()) for x in lists]
+            ends, known = lists.offsets.to_pylist(), lists.is_valid().to_pylist()
+            ids = lists.values[ends[0] : ends[-1]].to_pylist()
+            spans = zip(known, ends, ends[1:])
+            texts = [vocabulary.decode(ids[a - ends[0] : b - ends[0]]) if there else None for there, a, b in spans]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, schema)
