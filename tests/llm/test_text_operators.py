@@ -2,6 +2,7 @@
 
 import collections
 import math
+import time
 import zlib
 
 import numpy as np
@@ -349,3 +350,19 @@ def test_giant_text_at_the_production_chunk_size(spark):
     for i in (1, 2):
         assert rows[i].score == weight and rows[i].decoded == giant
     assert rows[3].decoded is None or rows[3].tokens == [] and rows[4].tokens == []
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<a ", "<div>", "<script>", "</", "<!--", "<svg></x>", '<a ">"', "<a '\"", "<li><div>", "<table><td>", "<a b=c >"])
+def test_broken_markup_takes_linear_time(piece):
+    """A megabyte of markup that never closes; the text before it is still found."""
+    start = time.perf_counter()
+    tree = dom_marginals.parse("<p>before</p>" + piece * (1_000_000 // len(piece)))
+    assert "before" in tree.runs.values() and time.perf_counter() - start < 30
+
+
+def test_tokens_of_tags_and_quotes():
+    found = lambda page: [(t[2], t[3], t[4]) for t in dom_marginals.tokens(page)]
+    assert found('<a title="x>y">z</a>') == [("a", False, ' title="x>y"'), ("a", True, "")]
+    assert found("<a t=\"x <b>") == [("a", False, ' t="x <b')]
+    assert found("a < b <i>c") == [("i", False, "")] and found("<!-- <p> --><script>'<p>'</SCRIPT ><br/>")[2:] == [("br", False, "/")]
+    assert found("<p") == [] and found("</p") == [("", False, "")] and found("<!-- open <p>") == [("", False, "")]

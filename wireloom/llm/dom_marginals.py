@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -37,13 +38,11 @@ CLOSES = {
     "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"table", "tr"}), "th": ({"td", "th", "p"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|iframe|noembed|noframes|xmp)\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*?)>"
-    r"|<[!?/][^>]*(?:>|\Z)",
-    re.IGNORECASE | re.DOTALL,
-)
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+TAG = re.compile(r"<(/?)([a-z][^\s/>]*)", re.IGNORECASE)
+# within a tag: up to its end or a quote, and a quoted value, which may hold the tag's end but no new tag
+UNQUOTED = re.compile(r"[^>\"']*")
+QUOTED = re.compile(r"\"[^\"<]*\"|'[^'<]*'")
 NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 LABEL = re.compile(r"\blabel=\"(on|off)\"")
 CUE = re.compile(r"[a-z]+")
@@ -52,6 +51,54 @@ MAIN = frozenset(("article", "main"))
 ASIDE = frozenset("nav aside footer form header menu dialog".split())
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, whether it ends an element, attributes) of all markup; the tag of comments,
+    declarations and elements whose content is no markup is empty.
+
+    One pass: what was looked for once and does not occur behind a place is not looked for again.
+    """
+    size, last_close, quotes = len(page), page.rfind(">"), True
+    raw_end: dict[str, re.Pattern] = {}
+    at = page.find("<")
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif (m := TAG.match(page, at)) and last_close >= m.end():
+            tag = m[2].lower()
+            raw = tag if tag in RAW else next((r for r in RAW if tag.startswith(r) and not (tag[len(r)].isalnum() or tag[len(r)] == "_")), "")
+            if raw and not m[1]:
+                if raw not in raw_end:
+                    raw_end[raw] = re.compile(rf"</{raw}\s*>", re.IGNORECASE)
+                found = raw_end[raw].search(page, page.find(">", at) + 1)
+                end = found.end() if found else size
+                yield at, end, "", False, ""
+            else:
+                end = _tag_end(page, m.end()) if quotes else 0
+                if not end:  # all that follows is quoted: from here on quotes do not count
+                    quotes, end = False, page.find(">", m.end()) + 1
+                yield at, end, tag, bool(m[1]), page[m.end() : end - 1]
+        elif page[at + 1 : at + 2] in ("!", "?", "/"):
+            end = page.find(">", at) + 1 if last_close > at else size
+            yield at, end, "", False, ""
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Behind the ``>`` that ends the tag, the first one outside quotes; 0 if there is none."""
+    while True:
+        at = UNQUOTED.match(page, at).end()
+        if at >= len(page):
+            return 0
+        if page[at] == ">":
+            return at + 1
+        quoted = QUOTED.match(page, at)
+        at = quoted.end() if quoted else at + 1
+
+
 @dataclass
 class Tree:
     """Nodes of one page in page order; a run is a stretch of text without a block boundary."""
@@ -91,6 +138,9 @@ def parse(page: str, labelled: bool = False) -> Tree:
     """
     tree = Tree()
     stack = [tree.add(-1, "#page", ())]
+    open_tags: Counter[str] = Counter()  # of the stack, of ``quiet`` and of ``within``
+    quiet_tags: Counter[str] = Counter()
+    within_tags: Counter[str] = Counter()
     text: list[str] = []
     links = in_link = silent = 0
     quiet: list[str] = []
@@ -112,50 +162,70 @@ def parse(page: str, labelled: bool = False) -> Tree:
                 tree.runs[node], tree.linked[node] = words, links
         links = 0
 
+    def cut(at: int) -> None:
+        """The elements from place ``at`` of the stack on have ended."""
+        open_tags.subtract(tree.tag[node] for node in stack[at:])
+        del stack[at:]
+
     def close(names: set[str], stops: set[str]) -> None:
+        if not any(open_tags[n] for n in names):
+            return
         for at in range(len(stack) - 1, 0, -1):
             if tree.tag[stack[at]] in stops:
                 return
             if tree.tag[stack[at]] in names:
-                del stack[at:]
+                cut(at)
                 return
 
+    def heard() -> None:
+        """No silent element is open any more."""
+        nonlocal silent
+        quiet.clear(), quiet_tags.clear()
+        silent = 0
+
     at = 0
-    for m in TOKEN.finditer(page):
-        if quiet == ["head"] and page[at : m.start()].strip():
-            quiet, silent = [], 0
-        if m.start() > at and not silent:
-            part = page[at : m.start()]
-            text.append(part)
+    for start, stop, tag, ends, attrs in tokens(page):
+        between = page[at:start]
+        if quiet == ["head"] and between.strip():
+            heard()
+        if between and not silent:
+            text.append(between)
             if in_link:
-                links += len(part)
-        at = m.end()
-        if m["tag"] is None:
+                links += len(between)
+        at = stop
+        if not tag:
             continue
-        tag, ends = m["tag"].lower(), bool(m["end"])
         if quiet == ["head"] and not ends and tag not in IN_HEAD:
-            quiet, silent = [], 0
+            heard()
         if silent and ends and tag not in SILENT:
-            if tag in within:
-                del within[len(within) - 1 - within[::-1].index(tag):]
-            elif any(tree.tag[k] == tag for k in stack[1:]):  # the block around the silent element ends, and it with it
-                quiet, silent = [], 0
+            if within_tags[tag]:
+                while within:
+                    gone = within.pop()
+                    within_tags[gone] -= 1
+                    if gone == tag:
+                        break
+            elif open_tags[tag]:  # the block around the silent element ends, and it with it
+                heard()
         if tag in SILENT:
             if ends:
-                if tag in quiet:
-                    del quiet[quiet.index(tag):]
-            elif tag not in VOID and not m["attrs"].endswith("/") and (tag == "head" or last_end(tag) >= at):
+                if quiet_tags[tag]:
+                    first = quiet.index(tag)
+                    quiet_tags.subtract(quiet[first:])
+                    del quiet[first:]
+            elif tag not in VOID and not attrs.endswith("/") and (tag == "head" or last_end(tag) >= at):
                 flush()
                 quiet.append(tag)
+                quiet_tags[tag] += 1
             silent = len(quiet)
             if not silent:
-                within.clear()
+                within.clear(), within_tags.clear()
             continue
         if silent:
-            if not ends and tag not in VOID and tag not in INLINE and not m["attrs"].endswith("/"):
+            if not ends and tag not in VOID and tag not in INLINE and not attrs.endswith("/"):
                 within.append(tag)
+                within_tags[tag] += 1
             continue
-        within.clear()
+        within.clear(), within_tags.clear()
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if ends else 1
@@ -170,17 +240,16 @@ def parse(page: str, labelled: bool = False) -> Tree:
         flush()
         in_link = 0
         if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if tree.tag[stack[k]] == tag))
             continue
         if tag in CLOSES:
             close(*CLOSES[tag])
         elif tree.tag[stack[-1]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            del stack[-1]  # a block ends an open paragraph or heading
-        stack.append(tree.add(stack[-1], tag, cues_of(m["attrs"])))
-        if labelled and (label := LABEL.search(m["attrs"])):
+            cut(len(stack) - 1)  # a block ends an open paragraph or heading
+        stack.append(tree.add(stack[-1], tag, cues_of(attrs)))
+        open_tags[tag] += 1
+        if labelled and (label := LABEL.search(attrs)):
             tree.given[stack[-1]] = label[1]
     if at < len(page) and (not silent or quiet == ["head"]):
         text.append(page[at:])
