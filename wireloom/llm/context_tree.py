@@ -8,14 +8,12 @@ contexts grow with the corpus, so nothing of them is broadcast or sent to the dr
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +24,7 @@ DEPTH = 5
 # levels from here on are worked out in one pass per partition, the few above them level by level
 SPLIT_LEVEL = 3
 # bytes of text that share one table of words and contexts
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 28 << 20
 BYTES_AT_ONCE = 1 << 21
 # distinct contexts of one partition
 PART_GRAMS = 400_000
@@ -44,12 +42,48 @@ def grams_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     pad = bytes([END]) * depth
     size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     flat = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8).astype(np.uint64)
-    begin = np.cumsum(size + depth) - size
-    at = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
-    key = flat[at]
+    key = flat.copy()
     for back in range(1, depth + 1):
-        key |= flat[at - back] << np.uint64(8 * (depth + 1 - back))
-    return key, size
+        key[back:] |= flat[:-back] << np.uint64(8 * (depth + 1 - back))
+    # the padding before a text is no position of its own
+    own = np.ones(len(flat), bool)
+    begin = np.cumsum(size + depth) - size
+    for k in range(1, depth + 1):
+        own[begin - k] = False
+    return key[own], size
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_DRAW = np.random.default_rng(2).integers(1 << 63, size=258, dtype=np.uint64)
+_BASE, _MIX = int(_DRAW[256]) | 1, _DRAW[257] | np.uint64(1)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(size: int) -> list[np.ndarray]:
+    """Powers of the base of the word hash and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < size:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of words of each text), by running sums instead of word by word.
+
+    A word's hash is the sum of a random number for each byte times a power for its place.
+    """
+    flat = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    space = _SPACE[flat]
+    begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    power, inverse = _powers_to(len(flat))
+    total = np.cumsum(_DRAW[flat] * power[: len(flat)])
+    found = (total[end - 1] - total[begin - 1]) * inverse[begin]
+    found = (found ^ (found >> np.uint64(32)) ^ (end - begin).astype(np.uint64)) * _MIX
+    after = np.cumsum([len(t) + 1 for t in texts])  # the blank behind each text
+    return found ^ (found >> np.uint64(29)), np.diff(np.searchsorted(begin, after), prepend=0)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -153,19 +187,16 @@ def block_counts(blocks: DataFrame, depth: int, held: int) -> DataFrame:
     """(block, kind, key, n): words and grams that occur in each block, and how often in its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, words, other, ends, grams = -1, Counter(), set(), 0, []
+        block, words, ends, grams = -1, [], 0, []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if block < 0:
                 return
-            known = list(words) + [w for w in other if w not in words]
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known)).view(np.int64)
-            counts = np.zeros(len(known), np.int64)
-            counts[: len(words)] = np.fromiter(words.values(), np.int64, len(words))
-            found = [(WORD, hashes, counts), (LAST, np.zeros(1, np.int64), np.array([ends]))]
-            if grams:
-                keys, n = _folded(grams)
-                found.append((GRAM, keys.view(np.int64), n))
+            found = [(LAST, np.zeros(1, np.int64), np.array([ends]))]
+            for kind, parts in ((WORD, words), (GRAM, grams)):
+                if parts:
+                    keys, n = _folded(parts)
+                    found.append((kind, keys.view(np.int64), n))
             for kind, keys, n in found:
                 order = np.argsort(keys)  # neighbours share their high bytes, which packs well
                 keys, n = keys[order], n[order]
@@ -184,21 +215,14 @@ def block_counts(blocks: DataFrame, depth: int, held: int) -> DataFrame:
                     continue
                 if number[a] != block:
                     yield from flush()
-                    block, words, other, ends, grams = int(number[a]), Counter(), set(), 0, []
+                    block, words, ends, grams = int(number[a]), [], 0, []
                 for c, d in spans_of([len(t) for t in texts[a:b]], BYTES_AT_ONCE):
                     own, use = texts[a + c : a + d], learned[a + c : a + d]
-                    for text, u in zip(own, use):
-                        if u:
-                            words.update(text.split())
-                        else:
-                            other.update(text.split())
                     ends += int(use.sum())
-                    keys, size = grams_of(own, depth)
-                    code, distinct = pd.factorize(keys)
-                    weight = np.repeat(use, size).astype(float)
-                    grams.append((distinct, np.bincount(code, weights=weight, minlength=len(distinct)).astype(np.int64)))
+                    for parts, (keys, size) in ((words, word_hashes(own)), (grams, grams_of(own, depth))):
+                        parts.append(_folded([(keys, np.repeat(use, size).astype(float))]))
                 if len(grams) > 16:
-                    grams = [_folded(grams)]
+                    words, grams = [_folded(words)], [_folded(grams)]
         yield from flush()
 
     return blocks.select("block", "bucket", "text").mapInArrow(run, "block bigint, kind int, key bigint, n bigint")
@@ -303,8 +327,8 @@ class Lookup:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
         self.shift = np.uint64(64 - max(10, int(np.ceil(np.log2(4 * len(keys) + 1)))))
-        self.place = np.zeros(1 << int(64 - self.shift), np.int64)
-        self.place[self._hash(self.keys)] = np.arange(len(keys))
+        self.place = np.zeros(1 << int(64 - self.shift), np.int32)  # keys of one block, so few enough
+        self.place[self._hash(self.keys)] = np.arange(len(keys), dtype=np.int32)
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -360,19 +384,14 @@ def score_texts(docs: DataFrame, parts: int = 10, held: int = 0, depth: int = DE
         room = train + 0.1 * (words + 1)
         raw = _texts(texts.column("text"))
         learned = texts.column("bucket").to_numpy() != held
-        local: Counter = Counter()
-        for text, use in zip(raw, learned):
-            if use:
-                local.update(text.split())
+        spans = spans_of([len(t) for t in raw], BYTES_AT_ONCE)
+        words_in = [word_hashes(raw[a:b]) for a, b in spans]
+        uses = [np.repeat(learned[a:b], size).astype(float) for (a, b), (_, size) in zip(spans, words_in)]
+        distinct, own = _folded([(keys, use) for (keys, _), use in zip(words_in, uses)]) if spans else (np.zeros(0, np.uint64), np.zeros(0))
+        occurs = Lookup(distinct, count(distinct, own.astype(float)))
         out: list[np.ndarray] = []
-        for a, b in spans_of([len(t) for t in raw], BYTES_AT_ONCE):
-            split = [t.split() for t in raw[a:b]]
-            size = np.array([len(s) for s in split])
-            flat = [w for s in split for w in s]
-            at = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in at), np.uint64, len(at))
-            own = np.fromiter((local.get(w, 0) for w in at), float, len(at))
-            c = count(hashes, own)[np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))] if flat else np.zeros(0)
+        for (a, b), (hashes, size) in zip(spans, words_in):
+            c = occurs(hashes)
             owner = np.repeat(np.arange(b - a), size)
             base = np.bincount(owner, weights=np.log10((c + 0.1) / room), minlength=b - a) + np.log10((end + 0.1) / room)
             known = np.bincount(owner, weights=(c > 0).astype(float), minlength=b - a) + (end > 0)
