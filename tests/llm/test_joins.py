@@ -22,6 +22,19 @@ def test_mix_reaches_targets(spark):
     assert weighted_mix.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_no_bucket_of_keys_is_large(spark):
+    """Sources whose texts all have one weight, light ones too, spread over the buckets alike."""
+    buckets = 400
+    rows = spark.range(200_000).withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in (0.1, 0.15, 0.5, 0.79, 1.0)]), (F.col("id") % 5 + 1).cast("int")))
+    key = weighted_mix.draw_key(F.col("id"), F.lit(7).cast("long"), F.col("weight"), "x")
+    found = rows.withColumn("key", key).withColumn("bucket", weighted_mix.key_bucket(F.col("key"), F.lit(buckets)))
+    sizes = found.groupBy("weight", "bucket").count().groupBy("weight").agg(F.max("count").alias("most")).collect()
+    share = 40_000 / buckets
+    assert len(sizes) == 5 and all(r.most <= 1.3 * 2 * len(weighted_mix.WEIGHT_STEPS) * share for r in sizes)
+    order = found.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).orderBy("bucket").collect()
+    assert all(a.high <= b.low for a, b in zip(order, order[1:]))
+
+
 def test_lists_as_of(spark):
     day = 86_400
     entries = spark.createDataFrame([

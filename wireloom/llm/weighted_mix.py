@@ -12,6 +12,8 @@ from .common import SYMBOLS, WORD_PATTERN, Guarded, pick, stored
 
 # rows of one source that are sorted together
 BUCKET_ROWS = 20_000
+# quality weights lie between the first and twice the last of these
+WEIGHT_STEPS = (0.1, 0.2, 0.4, 0.8)
 ADDED = ("size", "source_size", "target", "taken", "epochs")
 
 
@@ -33,6 +35,16 @@ def draw_key(doc_id: Column, size: Column, weight: Column, seed: str) -> Column:
     return -F.log(uniform) / weight
 
 
+def key_bucket(key: Column, buckets: Column) -> Column:
+    """Bucket of a key; buckets follow the keys' order.
+
+    Keys of weight w spread evenly over 1 - exp(-w key). The mean of these over WEIGHT_STEPS spreads
+    the keys of any weight so that no bucket gets over ``2 * len(WEIGHT_STEPS)`` times its share.
+    """
+    spread = sum((1 - F.exp(-w * key) for w in WEIGHT_STEPS), F.lit(0.0)) / len(WEIGHT_STEPS)
+    return F.floor(spread * buckets).cast("long")
+
+
 def source_targets(sizes: DataFrame, share: float, weights: Sequence[float], cap: float) -> DataFrame:
     """(source, source_size, target): the budget poured over the sources by weight, at most
     ``cap`` times a source's size each, the excess poured on over the others.
@@ -74,8 +86,8 @@ def source_plan(rows: DataFrame, share: float, weights: Sequence[float], cap: fl
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(sizes, share, weights, cap), "targets")
-    buckets = max(64, rows.count() // BUCKET_ROWS)
-    cut = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("long"))
+    buckets = max(64, 2 * len(WEIGHT_STEPS) * rows.count() // BUCKET_ROWS)
+    cut = rows.withColumn("bucket", key_bucket(F.col("key"), F.lit(buckets)))
     cells = cut.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size"))
     upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -149,7 +161,7 @@ def _keyed(docs: DataFrame, seed: str) -> DataFrame:
 
 
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    bucket = F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")).cast("long")
+    bucket = key_bucket(F.col("key"), F.col("buckets"))
     none = F.lit(-(1 << 63))
     reached = (F.col("key") < F.col("last_key")) | (
         (F.col("key") == F.col("last_key")) & (F.coalesce("doc_id", none) <= F.coalesce("last_id", none))
