@@ -18,7 +18,7 @@ CHUNK_CHARS = 32_768
 # transfer matrices that are combined in one step
 FAN = 64
 # units (words with their spaces) whose best cut a Python worker remembers, and the longest of them
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LONGEST_UNIT = 64
 CHARS_AT_ONCE = 1 << 21
 # characters of the next chunk that go along with a chunk; a piece may not be longer
@@ -28,6 +28,78 @@ UNIT = re.compile(" *[^ \n]+| +|\n")
 ADDED = [("tokens", "array<int>"), ("score", "bigint")]
 
 
+class PieceTable:
+    """Pieces by a 64-bit hash of their characters that running sums give for any part of a string."""
+
+    def __init__(self, pieces: list[str], weights: list[int], ids: list[int]):
+        self.base = int(np.random.default_rng(9).integers(1 << 62)) * 2 + 1
+        self.inverse = pow(self.base, -1, 1 << 64)
+        own = []
+        for p in pieces:
+            codes = np.array([list(map(ord, p))], np.uint32)
+            own.append(self._part(self.prefixes(codes), 0, len(p))[0])
+        keys = np.array(own, np.uint64)
+        if len(set(own)) != len(own):
+            raise ValueError("two pieces of the vocabulary have one hash")
+        order = np.argsort(keys)
+        self.keys, self.weights, self.ids = keys[order], np.array(weights, np.int64)[order], np.array(ids, np.int32)[order]
+        self.shift = np.uint64(64 - int(np.ceil(np.log2(8 * len(keys) + 1))))
+        self.place = np.zeros(1 << int(np.uint64(64) - self.shift), np.int32)
+        self.place[(self.keys >> self.shift).astype(np.int64)] = np.arange(len(keys), dtype=np.int32)
+        # of pieces that share a place, all but the last are found by a sorted search
+        shared = np.flatnonzero(self.place[(self.keys >> self.shift).astype(np.int64)] != np.arange(len(keys)))
+        self.crowded = np.zeros(len(self.place), bool)
+        self.crowded[(self.keys[shared] >> self.shift).astype(np.int64)] = True
+
+    def prefixes(self, codes: np.ndarray) -> np.ndarray:
+        """Running sums of a number for each character times a power for its place, one row per string."""
+        drawn = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        drawn = (drawn ^ (drawn >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        drawn ^= drawn >> np.uint64(27)
+        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(0, codes.shape[1] - 1), self.base, np.uint64)]))
+        return np.concatenate([np.zeros((len(codes), 1), np.uint64), np.cumsum(drawn * powers[: codes.shape[1]], axis=1)], axis=1)
+
+    def _part(self, prefixes: np.ndarray, i: int, j: int) -> np.ndarray:
+        found = (prefixes[:, j] - prefixes[:, i]) * np.uint64(pow(self.inverse, i, 1 << 64))
+        found = (found ^ (found >> np.uint64(32)) ^ np.uint64(j - i)) * np.uint64(0x94D049BB133111EB)
+        return found ^ (found >> np.uint64(29))
+
+    def find(self, prefixes: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(weight, id, whether it is a piece) of the part from ``i`` to ``j`` of every string."""
+        key = self._part(prefixes, i, j)
+        spot = (key >> self.shift).astype(np.int64)
+        at = self.place[spot]
+        there = self.keys[at] == key
+        other = np.flatnonzero(~there & self.crowded[spot])
+        if len(other):
+            at[other] = np.minimum(np.searchsorted(self.keys, key[other]), len(self.keys) - 1)
+            there[other] = self.keys[at[other]] == key[other]
+        return self.weights[at], self.ids[at], there
+
+
+class KnownCuts:
+    """Cuts of units seen before, in arrays from which those of many units are read at once."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def add(self, units: list[str], ids: np.ndarray, size: np.ndarray, weight: np.ndarray) -> None:
+        """Units with their ids one after the other, the number of ids and the weight of each."""
+        self.place.update(zip(units, range(len(self.place), len(self.place) + len(units))))
+        self.parts.append((ids, size, weight))
+
+    def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids, weight) of the units at the given places."""
+        if len(self.parts) > 1:
+            self.parts = [tuple(np.concatenate(p) for p in zip(*self.parts))]
+        ids, sizes, weights = self.parts[0]
+        starts = np.cumsum(sizes) - sizes
+        size = sizes[place]
+        at = np.arange(int(size.sum())) + np.repeat(starts[place] - (np.cumsum(size) - size), size)
+        return ids[at], size, weights[place]
+
+
 class Vocabulary:
     """Pieces with whole-number weights, and the best cut of any string into pieces and bytes.
 
@@ -65,7 +137,8 @@ class Vocabulary:
             raise ValueError("the vocabulary has pieces that reach beyond the context of a chunk")
         # units are cut where no piece reaches across
         self.by_units = all(re.fullmatch(" ?[^ \n]*| +", t) for t in text.values())
-        self.known: dict[str, tuple[list[int], int]] = {}
+        self.pieces = PieceTable(list(self.weight), [w for w, _ in self.weight.values()], [i for _, i in self.weight.values()])
+        self.known = KnownCuts()
 
     def steps(self, s: str, at: int) -> Iterator[tuple[int, int]]:
         """(length, weight) of what may begin at ``at``; a character that is no piece counts as its bytes."""
@@ -116,26 +189,69 @@ class Vocabulary:
             i = back[i]
         return ids[::-1], score[stop]
 
-    def unit(self, s: str) -> tuple[list[int], int]:
-        found = self.known.get(s)
-        if found is None:
-            found = self.best_cut(s)
-            if len(s) <= LONGEST_UNIT:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[s] = found
-        return found
+    def learn(self, units: list[str]) -> None:
+        """Best cuts of units into memory: those of one length together, position by position."""
+        by_length: dict[int, list[str]] = {}
+        for u in units:
+            by_length.setdefault(len(u) if len(u) <= LONGEST_UNIT else 0, []).append(u)
+        for length, same in sorted(by_length.items()):
+            whole = self.cut_alike(same, length) if length else np.zeros(len(same), bool)
+            for at in np.flatnonzero(~whole):
+                ids, total = self.best_cut(same[at])
+                self.known.add([same[at]], np.array(ids, np.int32), np.array([len(ids)]), np.array([total]))
+
+    def cut_alike(self, units: list[str], length: int) -> np.ndarray:
+        """Learn the best cuts of strings of one length; false for those with a character that is no piece."""
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(units), length)
+        hashes = self.pieces.prefixes(codes)
+        n = len(units)
+        score = np.full((n, length + 1), LOWEST, np.int64)
+        back, last = np.zeros((n, length + 1), np.int32), np.zeros((n, length + 1), np.int32)
+        whole = np.ones(n, bool)
+        score[:, 0] = 0
+        for i in range(length):
+            for j in range(i + 1, min(length, i + self.longest) + 1):
+                weight, ids, there = self.pieces.find(hashes, i, j)
+                if j == i + 1:
+                    whole &= there
+                total = score[:, i] + weight
+                better = there & (total > score[:, j])
+                score[better, j], back[better, j], last[better, j] = total[better], i, ids[better]
+        rows, at = np.flatnonzero(whole), np.full(int(whole.sum()), length)
+        steps = np.zeros((len(rows), length), np.int32)  # ids, the last one in the last column
+        count = np.zeros(len(rows), np.int64)
+        open_ = np.arange(len(rows))
+        while len(open_):
+            end = at[open_]
+            steps[open_, length - 1 - count[open_]] = last[rows[open_], end]
+            count[open_] += 1
+            at[open_] = back[rows[open_], end]
+            open_ = open_[at[open_] > 0]
+        ids = steps[np.arange(length)[None, :] >= (length - count)[:, None]]
+        self.known.add([units[r] for r in rows.tolist()], ids, count, score[rows, length])
+        return whole
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each, weight of each).
+
+        Units are independent of each other; each distinct one is cut once.
+        """
+        units = [UNIT.findall(s) if self.by_units else [s] for s in texts]
+        flat = [u for part in units for u in part]
+        distinct = dict.fromkeys(flat)
+        if len(self.known.place) + len(distinct) > REMEMBERED:
+            self.known = KnownCuts()
+        self.learn([u for u in distinct if u not in self.known.place])
+        place = np.fromiter(map(self.known.place.__getitem__, flat), np.int64, len(flat))
+        ids, size, weight = self.known.gather(place)
+        ends = np.cumsum([0] + [len(part) for part in units])
+        per_text = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[ends])
+        return ids, per_text(size), per_text(weight)
 
     def encode(self, s: str) -> tuple[list[int], int]:
-        """Best cut of ``s`` (with its leading space); units are independent of each other."""
-        units = UNIT.findall(s) if self.by_units else [s]
-        ids: list[int] = []
-        total = 0
-        for u in units:
-            part, w = self.unit(u)
-            ids += part
-            total += w
-        return ids, total
+        """Best cut of ``s`` (with its leading space)."""
+        ids, _, weight = self.encode_all([s])
+        return ids.tolist(), int(weight[0])
 
     def transfer(self, s: str, size: int) -> np.ndarray:
         """Best weight from each entry state to each exit state of a chunk.
@@ -214,10 +330,9 @@ def _encode_short(rows: DataFrame, path: str) -> DataFrame:
             vocabulary = vocabulary or Vocabulary(path)
             texts = batch.column("text").to_pylist()
             for a, b in spans_of([len(t or "") for t in texts], CHARS_AT_ONCE):
-                found = [vocabulary.encode(" " + t) if t else ([], 0) for t in texts[a:b]]
-                size = np.cumsum([0, *[len(f[0]) for f in found]]).astype(np.int32)
-                flat = np.fromiter((i for f in found for i in f[0]), np.int32, int(size[-1]))
-                added = [pa.ListArray.from_arrays(pa.array(size), pa.array(flat)), pa.array([f[1] for f in found], pa.int64())]
+                flat, size, weight = vocabulary.encode_all([" " + t if t else "" for t in texts[a:b]])
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                added = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(weight)]
                 yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns] + added, [*names, "tokens", "score"])
 
     return rows.mapInArrow(run, schema)
