@@ -366,3 +366,19 @@ def test_tokens_of_tags_and_quotes():
     assert found("<a t=\"x <b>") == [("a", False, ' t="x <b')]
     assert found("a < b <i>c") == [("i", False, "")] and found("<!-- <p> --><script>'<p>'</SCRIPT ><br/>")[2:] == [("br", False, "/")]
     assert found("<p") == [] and found("</p") == [("", False, "")] and found("<!-- open <p>") == [("", False, "")]
+
+
+def test_temporary_tables_go(spark):
+    """Tables stored within the block go with it, the kept one stays readable."""
+    from wireloom.llm.common import Temporary, stored
+
+    with Temporary(spark) as outer:
+        with Temporary(spark) as inner:
+            first = stored(spark.range(5).toDF("x"), "t")
+            kept = inner.keep(first.selectExpr("x + 1 AS x"), "t")
+        assert len(inner.paths) == 1 and len(outer.paths) == 1
+        assert kept.count() == 5
+        last = outer.keep(kept.selectExpr("x + 1 AS x"), "t")
+    assert sorted(r.x for r in last.collect()) == [2, 3, 4, 5, 6]
+    with pytest.raises(Exception):
+        spark.read.parquet(outer.paths[0]).count()

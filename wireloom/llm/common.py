@@ -54,6 +54,38 @@ class Guarded:
         return out.toDF(*names, *out.columns[len(names):])
 
 
+class Temporary:
+    """Scratch tables stored within a ``with`` block go when it ends, but those that it returns with ``keep``.
+
+    For steps whose result is stored itself: what they were made of is not read again then.
+    """
+
+    _open: list[Temporary] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Temporary:
+        Temporary._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
+        """Store ``df`` for longer than the block lasts."""
+        out = stored(df, purpose, compression)
+        path = self.paths.pop()
+        if len(Temporary._open) > 1:
+            Temporary._open[-2].paths.append(path)
+        return out
+
+    def __exit__(self, kind, *rest) -> None:
+        Temporary._open.remove(self)
+        if kind is None:
+            for path in self.paths:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
     """Write once as a scratch table in the shared folder and go on from there.
 
@@ -62,6 +94,8 @@ def stored(df: DataFrame, purpose: str, compression: str | None = None) -> DataF
     """
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
+    if Temporary._open:
+        Temporary._open[-1].paths.append(path)
     before = spark.conf.get(CLEAN_SHUFFLE, None)
     spark.conf.set(CLEAN_SHUFFLE, "true")
     try:

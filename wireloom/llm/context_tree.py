@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_bucket, pick, spans_of, stored
+from .common import Temporary, id_bucket, pick, spans_of, stored
 
 DEPTH = 5
 # levels from here on are worked out in one pass per partition, the few above them level by level
@@ -365,10 +365,11 @@ def score_texts(docs: DataFrame, parts: int = 10, held: int = 0, depth: int = DE
         }), "words", compression="zstd")
     train, words = totals.agg(F.sum("n"), F.count_if(F.col("first") & (F.col("total") > 0))).first()
     train, words = train or 0, words or 0
-    grams = stored(
-        counts.filter(f"kind = {GRAM}").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "grams"
-    )
-    values = stored(gram_scores(grams, depth), "values")
+    with Temporary(rows.sparkSession) as made:  # the tree's levels are not read again once every gram has its value
+        grams = stored(
+            counts.filter(f"kind = {GRAM}").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "grams"
+        )
+        values = made.keep(gram_scores(grams, depth), "values")
     scored = counts.filter(f"kind = {GRAM}").select("block", "kind", "key").join(values, F.col("key") == F.col("gram"))
     # a block knows by itself what occurs nowhere else; of words it gets only totals that differ from its own
     needed = scored.select("block", "kind", "key", F.col("log10_p").alias("value")).union(
