@@ -57,10 +57,14 @@ def heuristic_scores(
     return judged.select(*keep, "attack_category", score.alias("threat_score"))
 
 
+EVENT_KEYS = ("organization_id", "batch_id", "seq", "source_ip", "destination_ip", "alert_type")
+
+
 def heuristic_predictions(
-    events: DataFrame, scaled: bool = True, split_rows: int | None = SPLIT_ROWS, override: bool = True
+    events: DataFrame, scaled: bool = True, split_rows: int | None = SPLIT_ROWS, override: bool = True,
+    keep: Sequence[str] = EVENT_KEYS,
 ) -> DataFrame:
-    """Events' keys with the six prediction columns of the model-free path."""
-    keep = ["organization_id", "batch_id", "seq", "source_ip", "destination_ip", "alert_type"]
-    scored = heuristic_scores(events, keep, scaled, split_rows)
+    """Events' keys, or the columns to ``keep`` (``alert_type`` among them), with the six prediction
+    columns of the model-free path."""
+    scored = heuristic_scores(events, list(keep), scaled, split_rows)
     return with_predictions(scored, override).select(*keep, *PREDICTION_COLUMNS)

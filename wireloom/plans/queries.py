@@ -292,10 +292,10 @@ def score_backfill(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def map_mitre(spark: SparkSession, sf: str) -> DataFrame:
-    found = incidents.detect_suspicious(fl.flows(spark, sf))
-    own = heuristic_predictions(fl.flows(spark, sf)).select("seq", "ai_reason")
-    mapped = with_mitre(found.join(own, "seq"))
-    return mapped.select("seq", "mitre_tactic_id", "mitre_tactic", "mitre_technique_id", "mitre_technique")
+    """Predictions come along with the events, so that these are read and ordered once."""
+    events = fl.flows(spark, sf)
+    found = incidents.detect_suspicious(heuristic_predictions(events, keep=events.columns))
+    return with_mitre(found).select("seq", "mitre_tactic_id", "mitre_tactic", "mitre_technique_id", "mitre_technique")
 
 
 @query
