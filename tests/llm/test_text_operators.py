@@ -129,7 +129,7 @@ def test_lines(spark, docs, empty):
     rows = [(1, base + "\nshort\n" + base), (2, base.replace("bright", "brigt")), (3, base.replace("cold", "warm and wet")),
             (4, base[:-1] + "N!"), (None, base), (5, None), (6, "\n\n")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {(r.doc_id, r.line_no): r for r in line_edit_join.deduplicated_lines(df).collect()}
+    found = {(r.doc_id, r.line_no): r for r in line_edit_join.deduplicated_lines(df, least_chars=16).collect()}
     assert set(found) == {(1, 0), (1, 2), (2, 0), (3, 0), (4, 0), (None, 0)}
     assert [k for k, r in found.items() if r.kept] == [(1, 0), (3, 0)] or {k for k, r in found.items() if r.kept} == {(1, 0), (3, 0)}
     assert found[1, 0].n_links == 2 and found[3, 0].n_links == 0 and found[None, 0].class_doc_id == 1
@@ -382,3 +382,13 @@ def test_temporary_tables_go(spark):
     assert sorted(r.x for r in last.collect()) == [2, 3, 4, 5, 6]
     with pytest.raises(Exception):
         spark.read.parquet(outer.paths[0]).count()
+
+
+def test_documents_without_id_are_told_apart(spark):
+    """A line at one place of several documents without id stays in one of them only."""
+    line = "one and the same line of more than a few words"
+    docs = spark.createDataFrame([(None, f"{line}\nown line number {'abcdefg'[i] * 12}") for i in range(3)] + [(5, f"{line}\nlast")], "doc_id long, text string")
+    cut = [r.text for r in line_edit_join.drop_copied_lines(docs).collect()]
+    assert sum(line in t for t in cut) == 1 and len(cut) == 4
+    kept = line_edit_join.deduplicated_lines(docs).filter(f"class_doc_id = 5 and kept").collect()
+    assert [(r.doc_id, r.line_no) for r in kept] == [(5, 0), (5, 1)]
