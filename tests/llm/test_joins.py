@@ -52,6 +52,26 @@ def test_lists_as_of(spark):
     assert list_intervals.filter_urls(captures, entries.limit(0)).count() == 13
 
 
+def test_forms_of_entries(spark):
+    """Case, a last dot, a scheme and a port make no difference; paths of any depth and parents with paths count."""
+    entries = spark.createDataFrame([
+        ("Bad.ORG.", "block", 1), ("http://user@Deep.com:80/Ads/x/?q#f", "block", 1), ("deep.com/Ads", "allow", 1), (" ", "block", 1), ("/only", "block", 1),
+        ("bad.org", "remove", 100),
+    ], "entry string, action string, listed_at long")
+    urls = {
+        1: "http://a.bad.org/x/y", 2: "http://a.deep.com/Ads/x/y.html", 3: "http://deep.com/Ads/z", 4: "http://deep.com//Ads//x", 5: "http://deep.com/ads/x",
+        6: "http://deep.com/Ads/xy", 7: "http://xdeep.com/Ads/x", 8: "http://deep.com./Ads/x?Ads", 9: "http://b.org/" + "Ads/" * 5000,
+    }
+    captures = spark.createDataFrame([(i, u, 50, "theirs") for i, u in urls.items()] * 2, "page_id long, url string, fetched_at long, ENTRY string")
+    found = list_intervals.filter_urls(captures, entries)
+    got = {(r.page_id, r.blocked, r.entry) for r in found.select("page_id", "blocked", "entry").collect()}
+    assert found.count() == 18 and got == {
+        (1, True, "bad.org"), (2, True, "deep.com/Ads/x"), (3, False, "deep.com/Ads"), (4, True, "deep.com/Ads/x"), (5, False, None), (6, False, "deep.com/Ads"),
+        (7, False, None), (8, True, "deep.com/Ads/x"), (9, False, None),
+    }
+    assert not any(r.blocked for r in list_intervals.filter_urls(captures.withColumn("fetched_at", F.lit(100)).filter("page_id = 1"), entries).collect())
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]

@@ -10,6 +10,8 @@ from .common import Guarded, pick, stored
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 SECTION = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
+PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?"
 # intervals and captures meet within periods of so many seconds
 PERIOD = 64 * 86_400
 # of entries with one date the strongest holds
@@ -29,14 +31,30 @@ def section_of(url: Column) -> Column:
     return F.when(part != "", F.concat(host_of(url), F.lit("/"), part))
 
 
+def path_parts(path: Column) -> Column:
+    """Parts of a path that are not empty; none for a null path."""
+    return F.coalesce(F.filter(F.split(path, "/"), lambda p: p != ""), F.array().cast("array<string>"))
+
+
+def plain_entry(entry: Column) -> Column:
+    """An entry as captures are named: host in lower case without a last dot, then the path's parts.
+
+    A scheme, user, port, query or fragment is left out. Null where no host is left.
+    """
+    rest = F.regexp_replace(F.trim(entry), SCHEME, "")
+    host = F.lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/?#:]*)", 1), r"\.$", ""))
+    return F.when(host != "", F.array_join(F.concat(F.array(host), path_parts(F.regexp_extract(rest, r"^[^/?#]*/([^?#]*)", 1))), "/"))
+
+
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """(entry, action, since, until) from dated changes (entry, action, listed_at in seconds).
 
     An entry holds from its date until the entry's next change, the last one without end;
     ``remove`` ends the one before. Of changes at one time the strongest counts: block, allow,
-    remove. Changes with a null entry or date, or an unknown action, are none.
+    remove. Entries are taken as ``plain_entry`` writes them, so forms of one name are one entry.
+    Changes with a null entry or date, one without a host, or an unknown action, are none.
     """
-    known = pick(entries, "entry", "action", "listed_at").filter(
+    known = pick(entries, "entry", "action", "listed_at").withColumn("entry", plain_entry(F.col("entry"))).filter(
         F.col("entry").isNotNull() & F.col("listed_at").isNotNull() & F.col("action").isin(*STRENGTH)
     )
     strength = F.create_map(*[F.lit(x) for pair in STRENGTH.items() for x in pair])
@@ -49,16 +67,20 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     )
 
 
-def capture_keys(url: Column, labels: int) -> Column:
-    """What a list may name a capture by: its host, the host's parents, and its section.
+def capture_keys(url: Column, labels: int, parts: int) -> Column:
+    """What a list may name a capture by: its host and the host's parents, each alone and with the beginnings of its path.
 
-    Only names of up to ``labels`` parts are made, the most that any entry has.
+    Only names of up to ``labels`` parts and paths of up to ``parts`` are made, the most that any entry has.
     """
-    parts = F.split(host_of(url), r"\.")
-    most = F.least(F.size(parts), F.lit(labels))
-    names = F.when(most > 0, F.transform(F.sequence(F.lit(1), most), lambda n: F.array_join(F.slice(parts, -n, n), ".")))
-    section = F.when(section_of(url).isNotNull(), F.array(section_of(url))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.coalesce(names, F.array().cast("array<string>")), section)
+    named = F.split(host_of(url), r"\.")
+    most = F.least(F.size(named), F.lit(labels))
+    names = F.when(most > 0, F.transform(F.sequence(F.lit(1), most), lambda n: F.array_join(F.slice(named, -n, n), ".")))
+    path = path_parts(F.regexp_extract(url, PATH, 1))
+    ends = F.transform(
+        F.sequence(F.lit(0), F.least(F.size(path), F.lit(parts))), lambda n: F.array_join(F.concat(F.array(F.lit("")), F.slice(path, F.lit(1), n)), "/")
+    )
+    keys = F.flatten(F.transform(names, lambda name: F.transform(ends, lambda end: F.concat(name, end))))
+    return F.coalesce(keys, F.array().cast("array<string>"))
 
 
 def active_entries(captures: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -69,7 +91,9 @@ def active_entries(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     history is no long list for any one capture.
     """
     reach = captures.agg(F.min("fetched_at").alias("low"), F.max("fetched_at").alias("high"))
-    longest = intervals.agg(F.max(F.size(F.split(F.regexp_extract("entry", "^[^/]*", 0), r"\."))).alias("n")).first()["n"] or 0
+    labels, parts = intervals.agg(
+        F.max(F.size(F.split(F.regexp_extract("entry", "^[^/]*", 0), r"\."))), F.max(F.size(F.split("entry", "/")) - 1)
+    ).first()
     low, high = reach.first()
     period = lambda t: F.floor(t / PERIOD).cast("long")
     first = F.greatest(F.col("since"), F.lit(low).cast("long"))
@@ -80,7 +104,7 @@ def active_entries(captures: DataFrame, intervals: DataFrame) -> DataFrame:
         .select(F.col("entry").alias("name"), "action", "since", "until", F.col("period").alias("_period"))
     )
     named = captures.filter("fetched_at is not null").select(
-        "row", "fetched_at", period(F.col("fetched_at")).alias("period"), F.explode(capture_keys(F.col("url"), longest)).alias("key")
+        "row", "fetched_at", period(F.col("fetched_at")).alias("period"), F.explode(capture_keys(F.col("url"), labels or 0, parts or 0)).alias("key")
     )
     covers = (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     return named.join(cut, (F.col("key") == F.col("name")) & (F.col("period") == F.col("_period")) & covers).select(

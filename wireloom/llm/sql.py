@@ -60,7 +60,8 @@ m AS (
   SELECT p.page_id, p.url, i.entry, i.action,
          row_number() OVER (PARTITION BY p.page_id ORDER BY length(i.entry) DESC, i.entry DESC) AS r
   FROM p JOIN i ON i.action <> 'remove' AND p.fetched_at >= i.since AND (i.until IS NULL OR p.fetched_at < i.until)
-       AND (i.entry = p.host OR ends_with(p.host, '.' || i.entry) OR i.entry = p.host || '/' || p.part))
+       AND (i.entry = p.host OR ends_with(p.host, '.' || i.entry) OR i.entry = p.host || '/' || p.part
+            OR ends_with(p.host || '/' || p.part, '.' || i.entry)))
 SELECT p.page_id, p.url, p.fetched_at, p.host, coalesce(m.action = 'block', false) AS blocked, m.entry, m.action
 FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.r = 1
 """
