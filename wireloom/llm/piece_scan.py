@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ FAN = 64
 # units (words with their spaces) whose best cut a Python worker remembers, and the longest of them
 REMEMBERED = 300_000
 LONGEST_UNIT = 64
-CHARS_AT_ONCE = 1 << 21
+CHARS_AT_ONCE = 1 << 20
+TOKENS_AT_ONCE = 1 << 18
 # characters of the next chunk that go along with a chunk; a piece may not be longer
 CONTEXT_CHARS = 64
 LOWEST = -(1 << 60)
@@ -77,27 +79,44 @@ class PieceTable:
         return self.weights[at], self.ids[at], there
 
 
+def grown(values: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``values`` with ``more`` behind the first ``used``, in an array twice as large when it is full."""
+    if used + len(more) > len(values):
+        values = np.concatenate([values, np.zeros(max(len(values), len(more)), values.dtype)])
+    values[used : used + len(more)] = more
+    return values
+
+
 class KnownCuts:
     """Cuts of units seen before, in arrays from which those of many units are read at once."""
 
     def __init__(self):
         self.place: dict[str, int] = {}
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        self.ids, self.used = np.zeros(1 << 14, np.int32), 0
+        self.ends, self.weights = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def add(self, units: list[str], ids: np.ndarray, size: np.ndarray, weight: np.ndarray) -> None:
         """Units with their ids one after the other, the number of ids and the weight of each."""
-        self.place.update(zip(units, range(len(self.place), len(self.place) + len(units))))
-        self.parts.append((ids, size, weight))
+        known = len(self.place)
+        self.place.update(zip(units, range(known, known + len(units))))
+        self.weights = grown(self.weights, known, weight)
+        # the end of unit k is at place k + 1
+        self.ends = grown(self.ends, known + 1, self.used + np.cumsum(size))
+        self.ids = grown(self.ids, self.used, ids)
+        self.used += len(ids)
 
     def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids one after the other, number of ids, weight) of the units at the given places."""
-        if len(self.parts) > 1:
-            self.parts = [tuple(np.concatenate(p) for p in zip(*self.parts))]
-        ids, sizes, weights = self.parts[0]
-        starts = np.cumsum(sizes) - sizes
-        size = sizes[place]
-        at = np.arange(int(size.sum())) + np.repeat(starts[place] - (np.cumsum(size) - size), size)
-        return ids[at], size, weights[place]
+        first = self.ends[place]
+        size = self.ends[place + 1] - first
+        return self.ids[runs(first, size)], size, self.weights[place]
+
+
+def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers from each ``first`` on, ``size`` of them, one run after the other."""
+    at = np.arange(int(size.sum()))
+    at += np.repeat(first - (np.cumsum(size) - size), size)
+    return at
 
 
 class Vocabulary:
@@ -139,6 +158,8 @@ class Vocabulary:
         self.by_units = all(re.fullmatch(" ?[^ \n]*| +", t) for t in text.values())
         self.pieces = PieceTable(list(self.weight), [w for w, _ in self.weight.values()], [i for _, i in self.weight.values()])
         self.known = KnownCuts()
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.byte_ends = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes_of])])
 
     def steps(self, s: str, at: int) -> Iterator[tuple[int, int]]:
         """(length, weight) of what may begin at ``at``; a character that is no piece counts as its bytes."""
@@ -274,23 +295,35 @@ class Vocabulary:
                 np.maximum(best[i + n], np.where(open_, here + w, LOWEST), out=best[i + n])
         return np.stack([best[size + b] if size + b <= len(s) else np.full(k, LOWEST) for b in range(k)], axis=1)
 
-    def chunk_transfer(self, s: str, size: int) -> np.ndarray:
-        """As ``transfer``; what lies between the first and the last unit boundary is one sum."""
-        bounds = [m.start() for m in UNIT.finditer(s[:size])] if self.by_units else []
-        # a boundary is sure only if the character before it is known, which the first one's is not
-        bounds = [b for b in bounds if b > 0]
-        if len(bounds) < 2:
-            return self.transfer(s, size)
-        first, last = bounds[0], bounds[-1]
-        into = self.transfer(s[:first], first)[:, 0]
-        middle = self.encode(s[first:last])[1]
-        out = self.transfer(s[last:], size - last)[0]
+    def chunk_transfers(self, chunks: list[str], sizes: list[int]) -> list[np.ndarray]:
+        """As ``transfer`` of each chunk; what lies between its first and last unit boundary is one sum."""
+        ends: list[tuple[int, int] | None] = []
+        for s, size in zip(chunks, sizes):
+            bounds = [m.start() for m in UNIT.finditer(s[:size])] if self.by_units else []
+            # a boundary is sure only if the character before it is known, which the first one's is not
+            bounds = [b for b in bounds if b > 0]
+            ends.append((bounds[0], bounds[-1]) if len(bounds) > 1 else None)
+        middles = self.encode_all([s[e[0] : e[1]] if e else "" for s, e in zip(chunks, ends)])[2]
+        return [
+            self._joined(s, size, e, int(m)) if e else self.transfer(s, size) for s, size, e, m in zip(chunks, sizes, ends, middles)
+        ]
+
+    def _joined(self, s: str, size: int, ends: tuple[int, int], middle: int) -> np.ndarray:
+        into = self.transfer(s[: ends[0]], ends[0])[:, 0]
+        out = self.transfer(s[ends[1] :], size - ends[1])[0]
         whole = into[:, None] + middle + out[None, :]
         return np.where((into[:, None] <= LOWEST) | (out[None, :] <= LOWEST), LOWEST, whole)
 
+    def decode_all(self, ids: np.ndarray, size: np.ndarray) -> list[str]:
+        """The texts that the ids stand for, ``size`` of them for each text."""
+        length = self.byte_ends[ids + 1] - self.byte_ends[ids]
+        raw = self.all_bytes[runs(self.byte_ends[ids], length)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(size)])].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return raw[1:] if raw[:1] == " " else raw
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -328,9 +361,9 @@ def _encode_short(rows: DataFrame, path: str) -> DataFrame:
         vocabulary = None
         for batch in batches:
             vocabulary = vocabulary or Vocabulary(path)
-            texts = batch.column("text").to_pylist()
-            for a, b in spans_of([len(t or "") for t in texts], CHARS_AT_ONCE):
-                flat, size, weight = vocabulary.encode_all([" " + t if t else "" for t in texts[a:b]])
+            for a, b in spans_of(pa.compute.fill_null(pa.compute.utf8_length(batch.column("text")), 0).to_pylist(), CHARS_AT_ONCE):
+                texts = batch.column("text").slice(a, b - a).to_pylist()
+                flat, size, weight = vocabulary.encode_all([" " + t if t else "" for t in texts])
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 added = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(weight)]
                 yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns] + added, [*names, "tokens", "score"])
@@ -367,10 +400,11 @@ def _transfers(chunks: DataFrame, path: str) -> DataFrame:
         vocabulary = None
         for batch in batches:
             vocabulary = vocabulary or Vocabulary(path)
-            sizes = batch.column("size").to_pylist()
-            pieces = batch.column("piece").to_pylist()
-            raw = [vocabulary.chunk_transfer(p, n).tobytes() for p, n in zip(pieces, sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("part"), pa.array(raw, pa.binary())], ["row", "part", "matrix"])
+            for a, b in spans_of(batch.column("size").to_pylist(), CHARS_AT_ONCE):
+                part = batch.slice(a, b - a)
+                found = vocabulary.chunk_transfers(part.column("piece").to_pylist(), part.column("size").to_pylist())
+                raw = pa.array([m.tobytes() for m in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("part"), raw], ["row", "part", "matrix"])
 
     return chunks.mapInArrow(run, "row bigint, part bigint, matrix binary")
 
@@ -416,27 +450,32 @@ def _backtraced(chunks: DataFrame, path: str) -> DataFrame:
         vocabulary = None
         for batch in batches:
             vocabulary = vocabulary or Vocabulary(path)
-            cells = [batch.column(n).to_pylist() for n in ("piece", "size", "enter", "leave")]
-            found = []
-            for piece, size, enter, leave in zip(*cells):
-                found.append(chunk_tokens(vocabulary, piece[: size + leave], enter))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("part"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.int64())],
-                ["row", "part", "tokens", "score"],
-            )
+            for a, b in spans_of(batch.column("size").to_pylist(), CHARS_AT_ONCE):
+                part = batch.slice(a, b - a)
+                cells = [part.column(n).to_pylist() for n in ("piece", "size", "enter", "leave")]
+                found = chunk_tokens(vocabulary, [p[: n + leave] for p, n, _, leave in zip(*cells)], cells[2])
+                tokens = pa.array([f[0] for f in found], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("part"), tokens, pa.array([f[1] for f in found], pa.int64())], ["row", "part", "tokens", "score"]
+                )
 
     return chunks.mapInArrow(run, "row bigint, part bigint, tokens array<int>, score bigint")
 
 
-def chunk_tokens(vocabulary: Vocabulary, s: str, enter: int) -> tuple[list[int], int]:
-    """Best cut of ``s`` behind its first ``enter`` characters, unit by unit where units begin."""
-    bounds = [m.start() for m in UNIT.finditer(s) if m.start() > 0] if vocabulary.by_units else []
-    bounds = [b for b in bounds if b >= enter]
-    if not bounds:
-        return vocabulary.best_cut(s, enter)
-    head, total = vocabulary.best_cut(s[: bounds[0]], enter)
-    ids, more = vocabulary.encode(s[bounds[0] :])
-    return head + ids, total + more
+def chunk_tokens(vocabulary: Vocabulary, chunks: list[str], enter: list[int]) -> list[tuple[np.ndarray, int]]:
+    """Best cut of each chunk behind its first ``enter`` characters, unit by unit where units begin."""
+    heads, rests = [], []
+    for s, at in zip(chunks, enter):
+        bounds = (m.start() for m in UNIT.finditer(s) if 0 < m.start() >= at) if vocabulary.by_units else iter(())
+        first = next(bounds, len(s))
+        heads.append(vocabulary.best_cut(s[:first], at))
+        rests.append(s[first:])
+    ids, size, weight = vocabulary.encode_all(rests)
+    ends = np.cumsum(size)
+    return [
+        (np.concatenate([np.array(head, np.int32), ids[e - n : e]]), total + int(w))
+        for (head, total), e, n, w in zip(heads, ends, size, weight)
+    ]
 
 
 def encode_pieces(docs: DataFrame, path: str = PIECES, chunk: int = CHUNK_CHARS) -> DataFrame:
@@ -481,10 +520,12 @@ def decode_pieces(rows: DataFrame, path: str = PIECES) -> DataFrame:
         for batch in batches:
             vocabulary = vocabulary or Vocabulary(path)
             lists = batch.column("tokens")
-            ends, known = lists.offsets.to_pylist(), lists.is_valid().to_pylist()
-            ids = lists.values[ends[0] : ends[-1]].to_pylist()
-            spans = zip(known, ends, ends[1:])
-            texts = [vocabulary.decode(ids[a - ends[0] : b - ends[0]]) if there else None for there, a, b in spans]
+            size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts: list[str | None] = []
+            for a, b in spans_of(size.tolist(), TOKENS_AT_ONCE):
+                part = lists.slice(a, b - a)
+                found = vocabulary.decode_all(part.flatten().to_numpy(zero_copy_only=False), size[a:b])
+                texts += [t if there else None for t, there in zip(found, part.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, schema)
