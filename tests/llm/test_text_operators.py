@@ -392,3 +392,23 @@ def test_documents_without_id_are_told_apart(spark):
     assert sum(line in t for t in cut) == 1 and len(cut) == 4
     kept = line_edit_join.deduplicated_lines(docs).filter(f"class_doc_id = 5 and kept").collect()
     assert [(r.doc_id, r.line_no) for r in kept] == [(5, 0), (5, 1)]
+
+
+def test_units_cut_together_equal_units_cut_one_by_one():
+    v = piece_scan.Vocabulary(piece_scan.PIECES)
+    rng = np.random.default_rng(8)
+    letters = list(" abcdeeeinorsttt") + ["é", "漢", "🙂", "\t"]
+    for length in (1, 2, 3, 7, 20, 64):
+        units = list(dict.fromkeys("".join(rng.choice(letters, length)) for _ in range(400)))
+        v.known = piece_scan.KnownCuts()
+        whole = v.cut_alike(units, length)
+        assert whole.any() and [u for u, w in zip(units, whole) if w] == list(v.known.place)
+        for u, w in zip(units, whole):
+            ids, weight = v.best_cut(u)
+            if w:
+                found, size, total = v.known.gather(np.array([v.known.place[u]]))
+                assert found.tolist() == ids and size[0] == len(ids) and total[0] == weight
+    v.known = piece_scan.KnownCuts()
+    words = list(dict.fromkeys("".join(rng.choice(letters[1:], n)) for n in rng.integers(1, 9, 6000)))
+    ids, size, weight = v.encode_all([" ".join(words), "", " " + words[0]])
+    assert v.decode_all(ids, size) == [" ".join(words), "", words[0]] and weight[1] == 0

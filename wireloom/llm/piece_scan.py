@@ -216,7 +216,9 @@ class Vocabulary:
         for u in units:
             by_length.setdefault(len(u) if len(u) <= LONGEST_UNIT else 0, []).append(u)
         for length, same in sorted(by_length.items()):
-            whole = self.cut_alike(same, length) if length else np.zeros(len(same), bool)
+            # a few strings are cut sooner one by one
+            together = length and len(same) > 20 * min(length, self.longest)
+            whole = self.cut_alike(same, length) if together else np.zeros(len(same), bool)
             for at in np.flatnonzero(~whole):
                 ids, total = self.best_cut(same[at])
                 self.known.add([same[at]], np.array(ids, np.int32), np.array([len(ids)]), np.array([total]))
