@@ -25,7 +25,7 @@ DEPTH = 5
 SPLIT_LEVEL = 3
 # bytes of text that share one table of words and contexts
 BLOCK_BYTES = 28 << 20
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 20
 # distinct contexts of one partition
 PART_GRAMS = 400_000
 END = 0xFF  # in no UTF-8 text: fills the context before a text and ends it
@@ -386,10 +386,13 @@ def score_texts(docs: DataFrame, parts: int = 10, held: int = 0, depth: int = DE
         raw = _texts(texts.column("text"))
         learned = texts.column("bucket").to_numpy() != held
         spans = spans_of([len(t) for t in raw], BYTES_AT_ONCE)
-        words_in = [word_hashes(raw[a:b]) for a, b in spans]
-        uses = [np.repeat(learned[a:b], size).astype(float) for (a, b), (_, size) in zip(spans, words_in)]
-        distinct, own = _folded([(keys, use) for (keys, _), use in zip(words_in, uses)]) if spans else (np.zeros(0, np.uint64), np.zeros(0))
+        words_in, parts = [], []
+        for a, b in spans:
+            words_in.append(word_hashes(raw[a:b]))
+            parts.append(_folded([(words_in[-1][0], np.repeat(learned[a:b], words_in[-1][1]).astype(float))]))
+        distinct, own = _folded(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0))
         occurs = Lookup(distinct, count(distinct, own.astype(float)))
+        del parts, distinct, own, count
         out: list[np.ndarray] = []
         for (a, b), (hashes, size) in zip(spans, words_in):
             c = occurs(hashes)
