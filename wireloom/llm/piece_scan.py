@@ -19,10 +19,10 @@ CHUNK_CHARS = 32_768
 # transfer matrices that are combined in one step
 FAN = 64
 # units (words with their spaces) whose best cut a Python worker remembers, and the longest of them
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 LONGEST_UNIT = 64
 CHARS_AT_ONCE = 1 << 20
-TOKENS_AT_ONCE = 1 << 18
+TOKENS_AT_ONCE = 1 << 17
 # characters of the next chunk that go along with a chunk; a piece may not be longer
 CONTEXT_CHARS = 64
 LOWEST = -(1 << 60)
@@ -119,7 +119,37 @@ def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return at
 
 
-class Vocabulary:
+class PieceBytes:
+    """What each id stands for, which is all that decoding needs."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        found = []
+        for i in range(model.get_piece_size()):
+            if model.is_byte(i):
+                found.append(bytes([int(model.id_to_piece(i)[3:5], 16)]))
+            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+                found.append(b"")
+            else:
+                found.append(model.id_to_piece(i).replace("▁", " ").encode())
+        self.all_bytes = np.frombuffer(b"".join(found), np.uint8)
+        self.byte_ends = np.concatenate([[0], np.cumsum([len(b) for b in found])])
+
+    def decode_all(self, ids: np.ndarray, size: np.ndarray) -> list[str]:
+        """The texts that the ids stand for, ``size`` of them for each text."""
+        length = self.byte_ends[ids + 1] - self.byte_ends[ids]
+        raw = self.all_bytes[runs(self.byte_ends[ids], length)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(size)])].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
+
+
+class Vocabulary(PieceBytes):
     """Pieces with whole-number weights, and the best cut of any string into pieces and bytes.
 
     The file's scores are merge ranks, not probabilities. A piece weighs a thousand times the
@@ -130,6 +160,7 @@ class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
 
+        super().__init__(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         count = model.get_piece_size()
         plain = [i for i in range(count) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
@@ -137,13 +168,9 @@ class Vocabulary:
         text = {i: model.id_to_piece(i).replace("▁", " ") for i in plain}
         self.weight = {text[i]: (round(-1000 * (np.log(rank + 1.0) + norm)), i) for rank, i in enumerate(plain)}
         self.byte_id = np.zeros(256, np.int64)
-        self.bytes_of = [b""] * count
         for i in range(count):
             if model.is_byte(i):
-                value = int(model.id_to_piece(i)[3:5], 16)
-                self.byte_id[value], self.bytes_of[i] = i, bytes([value])
-            elif i in text:
-                self.bytes_of[i] = text[i].encode()
+                self.byte_id[int(model.id_to_piece(i)[3:5], 16)] = i
         self.byte_weight = round(-1000 * (np.log(len(plain)) + norm + 2))
         self.longest = max(map(len, text.values()))
         self.tree: dict = {}  # from character to subtree; at 0 the weight and id of the piece that ends there
@@ -158,8 +185,6 @@ class Vocabulary:
         self.by_units = all(re.fullmatch(" ?[^ \n]*| +", t) for t in text.values())
         self.pieces = PieceTable(list(self.weight), [w for w, _ in self.weight.values()], [i for _, i in self.weight.values()])
         self.known = KnownCuts()
-        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.byte_ends = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes_of])])
 
     def steps(self, s: str, at: int) -> Iterator[tuple[int, int]]:
         """(length, weight) of what may begin at ``at``; a character that is no piece counts as its bytes."""
@@ -316,17 +341,6 @@ class Vocabulary:
         whole = into[:, None] + middle + out[None, :]
         return np.where((into[:, None] <= LOWEST) | (out[None, :] <= LOWEST), LOWEST, whole)
 
-    def decode_all(self, ids: np.ndarray, size: np.ndarray) -> list[str]:
-        """The texts that the ids stand for, ``size`` of them for each text."""
-        length = self.byte_ends[ids + 1] - self.byte_ends[ids]
-        raw = self.all_bytes[runs(self.byte_ends[ids], length)].tobytes()
-        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(size)])].tolist()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-        return [t[1:] if t[:1] == " " else t for t in texts]
-
-    def decode(self, ids: list[int]) -> str:
-        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
-
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product of two transfer matrices."""
@@ -520,7 +534,7 @@ def decode_pieces(rows: DataFrame, path: str = PIECES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = None
         for batch in batches:
-            vocabulary = vocabulary or Vocabulary(path)
+            vocabulary = vocabulary or PieceBytes(path)
             lists = batch.column("tokens")
             size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             texts: list[str | None] = []
