@@ -162,7 +162,7 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         number, held = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
             block = np.zeros(batch.num_rows, np.int64)
-            for i, size in enumerate(pa.compute.binary_length(batch.column("text").cast(pa.large_binary())).to_pylist()):
+            for i, size in enumerate(pa.compute.binary_length(batch.column("text")).to_pylist()):
                 if held and held + (size or 0) > block_bytes:
                     number, held = number + 1, 0
                 held += size or 0
@@ -208,16 +208,16 @@ def block_counts(blocks: DataFrame, depth: int, held: int) -> DataFrame:
         for batch in batches:
             number = batch.column("block").to_numpy()
             learned = batch.column("bucket").to_numpy() != held
-            texts = _texts(batch.column("text"))
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()
             cuts = np.flatnonzero(np.diff(number)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(texts)]):
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                 if a == b:
                     continue
                 if number[a] != block:
                     yield from flush()
                     block, words, ends, grams = int(number[a]), [], 0, []
-                for c, d in spans_of([len(t) for t in texts[a:b]], BYTES_AT_ONCE):
-                    own, use = texts[a + c : a + d], learned[a + c : a + d]
+                for c, d in spans_of(sizes[a:b], BYTES_AT_ONCE):
+                    own, use = _texts(batch.column("text").slice(a + c, d - c)), learned[a + c : a + d]
                     ends += int(use.sum())
                     for parts, (keys, size) in ((words, word_hashes(own)), (grams, grams_of(own, depth))):
                         parts.append(_folded([(keys, np.repeat(use, size).astype(float))]))
