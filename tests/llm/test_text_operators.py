@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import time
 import zlib
 
@@ -188,6 +189,31 @@ def test_edits_grow_with_line_length(spark):
     assert links == apart and sum(links.values()) > 400
 
 
+
+def test_no_pair_of_long_lines_is_left_out(spark):
+    """Lines of all lengths with as many single edits as are allowed, spread evenly or drawn anywhere, meet their originals."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz ABCÄ漢"
+    lines = []
+    for n in [*range(60, 112), 127, 128, 140, 255, 256, 300, 511, 513, 640, 1030]:
+        for spread in (True, False):
+            line = "".join(rng.choice(letters) for _ in range(n))
+            edited, at = list(line), n // 10
+            for k in range(at):
+                place = (2 * k + 1) * n // (2 * at) if spread else rng.randrange(n)
+                kind = rng.choice("sid")
+                edited[place] = {"s": "#", "i": edited[place] + "#", "d": ""}[kind]
+            edited = "".join(edited)
+            if _within(line, edited, max(n, len(edited)) // 10):
+                lines.append((line, edited))
+    assert len(lines) > 100
+    rows = [(i, x) for i, x in enumerate(x for pair in lines for x in pair)]
+    found = {r.doc_id: r for r in line_edit_join.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [len(lines[i // 2][0]) for i in range(0, len(rows), 2) if found[i + 1].class_doc_id != i]
+    assert not lost
+    assert all(r.n_links == 1 for r in found.values())
+
+
 def test_short_lines_have_classes(spark, tmp_path):
     texts = ["Yes.\n\r\nfirst of all, a text", "Yes.\n\r\n今天天气很好。", "今天天气很好。\nanother text goes here"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
