@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from wireloom.sources import json_lines, lines, router
+from wireloom.sources import flows, json_lines, lines, router
 
 
 def as_lines(spark, text, batch="f"):
@@ -186,3 +186,12 @@ def test_relevance(spark):
 def test_blank_files_give_nothing(spark):
     assert router.file_profile(as_lines(spark, ["", " "])).count() == 0
     assert lines.drop_blank(as_lines(spark, ["", " ", "x"])).count() == 1
+
+
+def test_tasks_of_a_scan_have_bounded_rows(spark):
+    """Many rows in a single piece are spread over tasks by their number, not only over the cores."""
+    n = 40 * flows.SCAN_ROWS
+    spread = flows.spread_scan(spark.range(n).coalesce(1))
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 2 * flows.SCAN_ROWS
+    assert flows.spread_scan(spark.range(0)).count() == 0

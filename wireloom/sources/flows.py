@@ -21,6 +21,8 @@ ALERTS = [
 ]
 # events per batch, the size of a live upload
 BATCH_EVENTS = 50
+# rows that one task reads and works on up to the first shuffle, about
+SCAN_ROWS = 50_000
 
 CSV_HEADERS = [
     "timestamp,source_ip,destination_ip,domain,alert_type,proto",
@@ -39,13 +41,14 @@ ZEEK_HEADERS = {
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that is a single small piece.
+    """Use all cores on an input of few pieces, and give no task more than about SCAN_ROWS rows.
 
-    A file with one row group is read by one task, and everything up to the first shuffle would
-    run there. An input that already has enough partitions, as any large one has, is left alone.
+    Rows take a few bytes in the file, so a piece of the usual number of bytes holds millions of
+    them, and everything up to the first shuffle would run there. They are counted from the file's footers.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = max(cores, -(-df.count() // SCAN_ROWS))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def flows(spark: SparkSession, sf_dir: str, hints: bool = False) -> DataFrame:
