@@ -176,3 +176,14 @@ def test_ids_do_not_overflow_at_late_epochs(spark, tmp_path):
     table = IncidentTable(spark, f"{tmp_path}/table")
     process_batch(table)(raw, 1 << 24)
     assert table.read().agg({"id": "min"}).first()[0] >= 1 << 56
+
+
+def test_incoming_incidents_are_settled_before_they_are_compared(spark, tmp_path):
+    """Days, comparison and rows to store read a stored copy, not the detection three times."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(eve(8)))
+    found = detect_incidents(router.read_events(lines.scan_log_lines(spark, f"{tmp_path}/in", 3)))
+    assert "Window" in found._jdf.queryExecution().optimizedPlan().toString()
+    fresh = IncidentTable(spark, f"{tmp_path}/table").new_incidents(found)
+    assert "Window" not in fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert fresh.count() == 8

@@ -105,7 +105,9 @@ class IncidentTable:
         """The incoming incidents that no other epoch has stored yet, as of now.
 
         What ``epoch`` itself left behind does not count: a repeated epoch has the same new ones.
+        The incoming ones are settled first, as they are read three times.
         """
+        incoming = materialize(incoming)
         return dedup_incidents(incoming, self.stored_for(incoming, epoch), within_batch=within_batch, order="id")
 
     def append_new(self, incoming: DataFrame, within_batch: bool = False) -> DataFrame:
