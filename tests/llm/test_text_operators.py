@@ -214,6 +214,24 @@ def test_no_pair_of_long_lines_is_left_out(spark):
     assert all(r.n_links == 1 for r in found.values())
 
 
+def test_few_keys_of_unlike_lines_are_joined(spark):
+    """Keys that no other line makes are left out before the join; those of a pair with all its edits are not."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines = ["".join(rng.choice(letters) for _ in range(rng.randrange(64, 700))) for _ in range(200)]
+    near = ["".join("#" if i % 11 == 5 else c for i, c in enumerate(x)) for x in lines[:3]]
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "id long, counts long, line string")
+
+    chars = sum(map(len, lines))
+    keys = lambda batch: (k for *_, k, _ in line_edit_join._segment_keys(batch.column("line").to_pylist()))
+    known = line_edit_join.sketched(df.select("line"), keys, 1 << 22)
+    none = spark.sparkContext.broadcast((np.zeros(8, np.uint8), np.zeros(8, np.uint8)))
+    assert line_edit_join.met_keys(df, line_edit_join._place_keys, none).count() == 0
+    assert line_edit_join.met_keys(df, line_edit_join._place_keys, known).count() < chars / 10
+    assert all(line_edit_join.share_grams(a, b) for a, b in zip(lines, near))
+    assert not any(line_edit_join.share_grams(a, b) for a, b in zip(lines[:50], lines[50:100]) if len(a) > 200)
+
+
 def test_short_lines_have_classes(spark, tmp_path):
     texts = ["Yes.\n\r\nfirst of all, a text", "Yes.\n\r\n今天天气很好。", "今天天气很好。\nanother text goes here"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
