@@ -232,6 +232,34 @@ def test_few_keys_of_unlike_lines_are_joined(spark):
     assert not any(line_edit_join.share_grams(a, b) for a, b in zip(lines[:50], lines[50:100]) if len(a) > 200)
 
 
+def test_lines_that_repeat_themselves_meet_once(spark):
+    """A key that a line has at many places is one row, and no row at all where no other line has it."""
+    lines = ["of " * 300, "of " * 290 + "no", "Thor " * 200]
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "id long, counts long, line string").coalesce(1)
+    keys = lambda batch: (line_edit_join._per_line(*k)[4] for k in line_edit_join._segment_keys(batch.column("line").to_pylist()))
+    known = line_edit_join.sketched(df.select("line"), keys, 1 << 20)
+    met = line_edit_join.met_keys(df, line_edit_join._place_keys, known).collect()
+    assert len(met) == len({(r.id, r.key) for r in met}) and {r.id for r in met} == {0, 1}
+    assert max(r.greatest - r.least for r in met) > 800
+
+
+def test_many_lines_are_compared_at_once():
+    """Distances of pairs of all lengths are those of the plain edit matrix."""
+    rng = random.Random(9)
+    a, b = [], []
+    for n in [*range(0, 140, 3), 192, 193, 640, 641, 1024, 1025, 1100] * 3:
+        line = "".join(rng.choice(rng.choice(["ab", "abcdefgh ", "é漢😀"])) for _ in range(n))
+        near = [rng.choice(["", "#", c + "é"]) if rng.random() < rng.choice([0.02, 0.08, 0.3]) else c for c in line]
+        a.append(line)
+        b.append("".join(near))
+    most = np.array([max(len(x), len(y)) // 10 for x, y in zip(a, b)])
+    apart = [_within(x, y, m) for x, y, m in zip(a, b, most)]
+    assert line_edit_join.within(a, b, most).tolist() == apart and 20 < sum(apart) < len(a) - 20
+    exact = line_edit_join.edit_distances(a, b)
+    assert exact.tolist() == [line_edit_join.edit_distance(x, y) for x, y in zip(a, b)]
+    assert all(_within(x, y, d) and not (d and _within(x, y, d - 1)) for x, y, d in zip(a, b, exact.tolist()) if len(x) < 200)
+
+
 def test_short_lines_have_classes(spark, tmp_path):
     texts = ["Yes.\n\r\nfirst of all, a text", "Yes.\n\r\n今天天气很好。", "今天天气很好。\nanother text goes here"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
