@@ -4,7 +4,9 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from wireloom.plans import queries
 from wireloom.sources import json_lines
 from wireloom.streaming import live, windows
 
@@ -92,3 +94,26 @@ def test_plans_are_compiled(spark):
         assert windows.daily_counts(json_lines.parse_json(lines)).count() == 1
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_large_state_lies_on_disk_and_few_files_are_written(spark, tmp_path):
+    """De-duplication stores what a micro-batch changed, and a folder of logs has a bounded number of files."""
+    rows = [{"src_ip": f"10.0.0.{i % 7}", "dest_ip": "1.1.1.1", "time": "2024-01-01T00:00:00", "alert": f"Port Scan {i % 5}"} for i in range(70)]
+    for part in ("a", "b"):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{part}.log").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    events = json_lines.normalize_generic_json(live.tail(spark, str(tmp_path / "in"), max_files=1))
+    unique = windows.first_of_key(events, "60 days").select("source_ip", "alert_type")
+    windows.append_to(unique, str(tmp_path / "out"), str(tmp_path / "cp"), large_state=True).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 35
+    assert list((tmp_path / "cp" / "state").rglob("*.changelog"))
+    assert not set(windows.LARGE_STATE) & set(spark.conf.getAll)
+
+    events = spark.range(300).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), F.col("id").alias("user_id"),
+        F.lit("click").alias("event_type"), F.format_string('{"k": %d}', "id").alias("props"),
+    )
+    cores = spark.sparkContext.defaultParallelism
+    events.repartition(5 * cores).write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    folder = queries._generic_folder(spark, str(tmp_path / "sf"), 1)
+    assert len(set(spark.read.text(folder).inputFiles())) <= 2 * cores and spark.read.text(folder).count() == 300

@@ -619,9 +619,11 @@ STREAM_DELAY = "60 days"
 
 
 def _generic_folder(spark: SparkSession, sf: str, copies: int) -> str:
+    """All lines, ``copies`` times, in two files a core at most: a stream that takes few files at a time then has a bounded number of micro-batches."""
     folder = scratch_path(spark, "logs")
     for _ in range(copies):
-        fl.render_generic_json(fl.flows(spark, sf)).select("value").write.mode("append").text(folder)
+        lines = fl.render_generic_json(fl.flows(spark, sf)).select("value")
+        lines.coalesce(2 * spark.sparkContext.defaultParallelism).write.mode("append").text(folder)
     return folder
 
 
@@ -631,7 +633,7 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "dedup")
     events = json_lines.normalize_generic_json(live.tail(spark, _generic_folder(spark, sf, 2), max_files=5))
     unique = windows.first_of_key(events, STREAM_DELAY).select(*incidents.INCIDENT_KEY)
-    windows.append_to(unique, f"{out}/events", f"{out}/checkpoint").awaitTermination()
+    windows.append_to(unique, f"{out}/events", f"{out}/checkpoint", large_state=True).awaitTermination()
     return spark.read.parquet(f"{out}/events").drop("organization_id")
 
 
